@@ -21,6 +21,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import replace
+
+    return replace(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.html_text import main_text
 
