@@ -27,6 +27,18 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.fm_dedup import drop_passages
+
+    return drop_passages(table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.suffix_dedup import drop_repeats
+
+    return drop_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.html_text import main_text
 
