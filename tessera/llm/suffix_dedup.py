@@ -118,16 +118,22 @@ def resolver(window: int):
 def long_factors(text: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
     """Whether LPF reaches `window`, without measuring shorter factors.
 
-    Suffix order to depth `window` puts equal strings of that length side by side by place. The previous smaller place
-    then has the same rank exactly if some earlier place has, and the next smaller one never has.
+    Only places with `window` units before their row's end can have such factors, so only they are put in suffix order,
+    to that depth; equal strings stand side by side by place. If some earlier place has a place's string, the previous
+    smaller one in suffix order has it too.
     """
-    order, rank = suffix_array(text, ends, window)
+    stop = np.repeat(ends[1:], np.diff(ends))
+    place = np.flatnonzero(stop - np.arange(len(text)) >= window)
+    flags = np.zeros(len(text), bool)
+    if not place.size:
+        return flags
+    # all strings are of one length, so that padding plays no part in comparing them
+    strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, window)[place]).view(f"S{window}").ravel()
+    order = np.argsort(strings, kind="stable")
     before, _ = smaller_neighbours(order)
     has = np.flatnonzero(before >= 0)
     at, prev = order[has], order[before[has]]
-    stop = np.repeat(ends[1:], np.diff(ends))
-    flags = np.zeros(len(text), bool)
-    flags[at] = (rank[at] == rank[prev]) & (stop[at] - at >= window)
+    flags[place[at]] = strings[at] == strings[prev]
     return flags
 
 
