@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -48,8 +49,10 @@ class Work:
 
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of plans that are no longer referenced."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what the first pass finalizes, the second frees
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.2)
 
 
 def tasks_for(spark: SparkSession) -> int:
@@ -82,10 +85,10 @@ def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (two multiply-xorshift rounds)."""
     x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    for _ in range(2):
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+    return x
 
 
 def multipliers(n: int, seed: int) -> np.ndarray:
@@ -93,6 +96,9 @@ def multipliers(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 20)) | np.uint64(1)
 
 
+_PLACES = multipliers(1 << 16, 5)
+
+
 def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Words of each value: the distinct words, the index of each word, and where each value's words begin and end."""
     if pa.types.is_binary(column.type):
@@ -108,11 +114,37 @@ def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    import xxhash
-
-    return np.fromiter((xxhash.xxh3_64_intdigest(w.as_buffer()) for w in words), np.uint64, len(words))
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(9, 14)]] = True
+
+
+def word_places(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and end of every word, and where each value's words begin and end."""
+    n = len(buf)
+    edge = np.zeros(n + 1, bool)
+    edge[at] = True
+    full = ~_BLANK[buf]
+    begins = full.copy()
+    begins[1:] &= ~full[:-1] | edge[1:n]
+    closes = full
+    closes[:-1] &= ~full[1:] | edge[1:n]
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, at)
+
+
+def hash_words(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word (bytes times odd numbers by place, mixed), and where each value's words begin and end."""
+    starts, stops, ends = word_places(buf, at)
+    if not len(starts):
+        return np.zeros(0, np.uint64), ends
+    length = stops - starts
+    first = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(first, length)
+    by = _PLACES[place & 0xFFFF]
+    if len(place) > 0xFFFF:
+        by = by + (place >> 16).astype(np.uint64)
+    value = (buf[place + np.repeat(starts, length)].astype(np.uint64) + np.uint64(1)) * by
+    return mix(np.add.reduceat(value, first) + length.astype(np.uint64)), ends
 
 
 def owners(ends: np.ndarray) -> np.ndarray:

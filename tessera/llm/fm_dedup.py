@@ -144,13 +144,12 @@ class FMIndex:
 
 def resolver(window: int):
     def resolve(units: np.ndarray, ends: np.ndarray, anchor: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-        words, ids = np.unique(units, return_inverse=True)
-        ids = ids.reshape(-1).astype(np.int64) + 1
+        ids = units + 1
         k = len(doc)
         text = np.zeros(len(ids) + k, np.int64)
         place = np.arange(len(ids)) + np.repeat(np.arange(k), np.diff(ends))
         text[place] = ids
-        index = FMIndex(text, len(words) + 1, window)
+        index = FMIndex(text, int(ids.max()) + 1, window)
         owner = np.repeat(np.arange(k), np.diff(ends) + 1)
         first_doc = np.full(int(index.group.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(first_doc, index.group, doc[owner][index.sa])

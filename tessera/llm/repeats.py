@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CHUNK_BYTES, Work, mix, multipliers, owners, slices, tasks_for, views, word_hashes, words_of
+from tessera.llm.common import CHUNK_BYTES, Work, hash_words, mix, multipliers, slices, tasks_for, views, word_places, words_of
 
 #: Longest run of windows in a block; two window hashes then cover a block.
 LONGEST_RUN = 96
 #: Anchors with more distinct blocks than this are settled window by window.
 MOST_BLOCKS = 20_000
 #: Units that a task indexes at a time.
-BUCKET_UNITS = 1 << 20
+BUCKET_UNITS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -37,19 +37,10 @@ class Kind:
     window: int
     anchor: int  # K, units in an anchor
 
-    def units(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """Units of each row as 64-bit numbers, and where each row's begin and end."""
-        if self.words:
-            words, ids, ends = words_of(part.column("text"))
-            return word_hashes(words)[ids] if len(ids) else np.zeros(0, np.uint64), ends
-        buf, at = views(part.column("text"))
-        return buf.astype(np.uint64), at
-
     def sums(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
         """Hashes of G consecutive units at every place, row ends, and G; a hash of more is combined from these."""
         if self.words:
-            units, ends = self.units(part)
-            return units, ends, 1
+            return *hash_words(*views(part.column("text"))), 1
         buf, at = views(part.column("text"))
         n = len(buf) - 7
         if n <= 0:
@@ -67,8 +58,13 @@ def gram_hash(sums: np.ndarray, g: int, n: int, seed: int, at: np.ndarray | None
     out = None
     for o, c in zip(offsets, m, strict=True):
         x = sums[o : o + length] if at is None else sums[at + o]
-        x = (x ^ (x >> np.uint64(29))) * c
-        out = x if out is None else out + x
+        y = x >> np.uint64(29)
+        y ^= x
+        y *= c
+        if out is None:
+            out = y
+        else:
+            out += y
     return mix(out)
 
 
@@ -89,15 +85,15 @@ def runs(kind: Kind, part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         width *= 2
     low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
     n = len(low)
-    row = owners(ends)[:n]
-    start = np.arange(n) - ends[row]
-    valid = np.arange(n) + w <= ends[row + 1]
     new = np.empty(n, bool)
     new[0] = True
-    new[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1]) | (valid[1:] != valid[:-1])
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    for edge in (ends[1:-1], ends[1:] - (w - 1)):  # rows begin, and their windows end
+        new[edge[(edge > 0) & (edge < n)]] = True
     first = np.flatnonzero(new)
     length = np.diff(np.append(first, n))
-    good = valid[first]
+    row = np.searchsorted(ends, first, "right") - 1
+    good = first + w <= ends[row + 1]
     first, length = first[good], length[good]
     if length.size and length.max() > LONGEST_RUN:  # periodic texts
         pieces = -(-length // LONGEST_RUN)
@@ -107,11 +103,19 @@ def runs(kind: Kind, part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     if not first.size:
         return none
     block = mix(gram_hash(sums, g, w, 2, first) + gram_hash(sums, g, w, 3, first + length - 1) * np.uint64(3) + length.astype(np.uint64))
-    seen = np.zeros(len(first), np.int16)
-    for o in range(int(length.max()) + span - 1):
-        within = np.flatnonzero(length + span - 1 > o) if o >= span else slice(None)
-        seen[within] += h[first[within] + o] == low[first[within]]
-    return row[first], start[first], length, low[first], block, seen > 1
+    value, twice = low[first], np.zeros(len(first), bool)
+    # an anchor is nearly always among the smallest hashes; only values that occur again there, or are larger, are counted
+    limit = np.uint64(min((1 << 64) - 1, 8 * (1 << 64) // span))
+    few = np.sort(h[h <= limit])
+    again = np.flatnonzero((np.searchsorted(few, value, "right") - np.searchsorted(few, value, "left") > 1) | (value > limit))
+    if again.size:
+        f, v, reach = first[again], value[again], length[again] + span - 1
+        seen = np.zeros(len(again), np.int64)
+        for o in range(int(reach.max())):
+            seen += (reach > o) & (h[np.minimum(f + o, len(h) - 1)] == v)
+        twice[again] = seen > 1
+    row = np.searchsorted(ends, first, "right") - 1
+    return row, first - ends[row], length, value, block, twice
 
 
 def keyed(docs: DataFrame, *more) -> DataFrame:
@@ -125,7 +129,7 @@ def all_runs(docs: DataFrame, kind: Kind) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, "text", CHUNK_BYTES // 4):
+            for part in slices(b, "text", CHUNK_BYTES // 16):
                 row, start, n, anchor, block, twice = runs(kind, part)
                 doc, rid = part.column("doc").to_numpy(), part.column("rid").to_numpy().astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64)), pa.array(doc[row]), pa.array((start << 32) | rid[row]), pa.array(n.astype(np.int16)), pa.array(twice)], names=["anchor", "block", "doc", "at", "n", "twice"])
@@ -142,27 +146,26 @@ def rid_of() -> Column:
 
 
 def block_texts(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
-    """anchor, block, doc, at, n, units of the wanted runs; units are the bytes, or 8 bytes for each word."""
+    """anchor, block, doc, at, n, units of the wanted runs; units are their bytes, for words with the white space between."""
     per = wanted.groupBy("doc", rid_of()).agg(F.collect_list(F.struct("anchor", "block", "at", "n")).alias("w"))  # runs of one document
     joined = keyed(docs).join(per, ["doc", "rid"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 8 if kind.words else 1
         for b in batches:
             for part in slices(b, "text", CHUNK_BYTES // 4):
+                buf, ends = views(part.column("text"))
+                raw = buf.tobytes()
                 if kind.words:
-                    units, ends = kind.units(part)
-                    raw = units.tobytes()
-                else:
-                    buf, ends = views(part.column("text"))
-                    raw = buf.tobytes()
+                    starts, stops, ends = word_places(buf, ends)
                 w = part.column("w")
                 counts = np.diff(w.offsets.to_numpy().astype(np.int64))
                 flat = w.flatten()
                 at, n = flat.field("at").to_numpy(), flat.field("n").to_numpy().astype(np.int64)
                 base = np.repeat(ends[:-1], counts)
-                lo = (base + (at >> 32)) * size
-                hi = lo + (n + kind.window - 1) * size
+                lo = base + (at >> 32)
+                hi = lo + n + kind.window - 1
+                if kind.words:
+                    lo, hi = starts[lo], stops[hi - 1]
                 yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("block"), pa.array(np.repeat(part.column("doc").to_numpy(), counts)), flat.field("at"), flat.field("n"), pa.array([raw[i:j] for i, j in zip(lo, hi, strict=True)], pa.binary())], names=["anchor", "block", "doc", "at", "n", "units"])
 
     return joined.mapInArrow(run, "anchor long, block long, doc long, at long, n short, units binary")
@@ -179,8 +182,7 @@ def resolved(texts: DataFrame, kind: Kind, resolve: Resolve, bucket_units: int)
 
     def close(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
-        buf, at = views(t.column("units").chunk(0))
-        units, ends = (buf.view(np.uint64) if buf.flags["C_CONTIGUOUS"] else buf.copy().view(np.uint64), at // 8) if kind.words else (buf, at)
+        units, ends = words_of(t.column("units").chunk(0))[1:] if kind.words else views(t.column("units").chunk(0))
         anchor, doc, start = (t.column(c).to_numpy() for c in ("anchor", "doc", "at"))
         flagged = resolve(units, ends, anchor, doc, start)  # one flag for each unit
         lists = []
@@ -196,7 +198,7 @@ def resolved(texts: DataFrame, kind: Kind, resolve: Resolve, bucket_units: int)
         size = 0
         for b in batches:
             a = b.column("anchor").to_numpy()
-            ends = views(b.column("units"))[1][1:] // (8 if kind.words else 1)
+            ends = np.cumsum(b.column("n").to_numpy().astype(np.int64) + kind.window - 1)
             i = 0
             while i < len(a):
                 room = int(np.searchsorted(ends - (ends[i - 1] if i else 0), bucket_units - size, side="left"))
@@ -227,15 +229,16 @@ def window_rows(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        size = 8 if kind.words else 1
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
                 keys, docs_, ats = [], [], []
                 for units, doc, at in zip(part.column("units"), part.column("doc").to_pylist(), part.column("at").to_pylist(), strict=True):
                     raw = units.as_py()
-                    for s in range(len(raw) // size - kind.window + 1):
-                        keys.append(xxhash.xxh3_128_digest(raw[s * size : (s + kind.window) * size]))
+                    got = raw.split() if kind.words else raw
+                    for s in range(len(got) - kind.window + 1):
+                        one = got[s : s + kind.window]
+                        keys.append(xxhash.xxh3_128_digest(b" ".join(one) if kind.words else one))
                         docs_.append(doc)
                         ats.append(at + (s << 32))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs_, pa.int64()), pa.array(ats, pa.int64())], names=["key", "doc", "at"])
