@@ -8,8 +8,9 @@ signature, and such sets share one.
 
 Sets with the same elements count as one. Signatures of a single set are dropped by an aggregate. In the groups that are
 left, parity sketches (whose distance never exceeds that of the sets) rule out nearly all false pairs, and a group
-passes on a spanning forest of what is left rather than its pairs. The forest's edges are verified exactly. Where one is
-refuted, its groups are done again without it, until none is: then every link joins sets that verified links connect.
+passes on a spanning forest of what is left rather than its pairs. The forest's edges are verified exactly. Groups with a
+refuted edge whose ends no verified links connect are done again: now each passes on all its possible pairs whose ends
+aren't connected, few as they are, and these are verified too. Then every link joins sets that verified links connect.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.common import CHUNK_BYTES, Work, mix, multipliers, owners, slices, tasks_for, views, word_hashes, words_of
+from tessera.llm.common import CHUNK_BYTES, Work, hash_words, mix, multipliers, owners, slices, tasks_for, views
 from tessera.llm.components import components
 
 SHINGLE = 3
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
 #: Band ratio as a fraction, and the largest size that a band begins with.
 RATIO, TOP = (5, 4), 1 << 31
 #: Bits of a sketch for each element of a band's largest set.
-SKETCH_BITS = 2.5
+SKETCH_BITS = 4
 #: Larger groups are cut into chunks of this many members, each pair of chunks a group.
 CHUNK = 2048
 
@@ -54,13 +57,12 @@ def similar(n_a, n_b, distance):
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each value in order, and where each value's begin and end."""
-    if pa.types.is_binary(column.type):
-        column = column.view(pa.string())
-    words, ids, ends = words_of(pc.ascii_lower(column))
+    buf, at = views(column)
+    h, ends = hash_words(LOWER[buf], at)
     n = len(ends) - 1
-    if not len(ids):
+    if not len(h):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    h, row = word_hashes(words)[ids], owners(ends)
+    row = owners(ends)
     m = multipliers(size, 7)
     counts = np.diff(ends)
     whole = np.flatnonzero((counts > 0) & (counts < size))
@@ -135,27 +137,39 @@ def sketch_words(band: int) -> int:
     return int(-(-SKETCH_BITS * HI[band] // 64))
 
 
-def spanning(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, label: np.ndarray, refuted: dict[int, set[int]]) -> list[tuple[int, int]]:
-    """Edges that connect what possible links connect; members of one label are connected already."""
-    m = len(ids)
-    left = np.ones(m, bool)
+def spanning(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what possible links connect."""
+    left = np.ones(len(ids), bool)
     edges: list[tuple[int, int]] = []
     while left.any():
         queue = [int(np.argmax(left))]
-        left &= label != label[queue[0]]
-        queue = list(np.flatnonzero(label == label[queue[0]]))
-        while queue and left.any():
+        left[queue[0]] = False
+        while queue:
             x = queue.pop()
             rest = np.flatnonzero(left)
-            apart = np.bitwise_count(sketch[rest] ^ sketch[x]).sum(1, dtype=np.int64)
-            near = rest[similar(sizes[rest], sizes[x], np.maximum(apart, np.abs(sizes[rest] - sizes[x])))]
-            bad = refuted.get(int(ids[x]))
-            for y in near:
-                if left[y] and not (bad and int(ids[y]) in bad):
-                    edges.append((int(ids[x]), int(ids[y])))
-                    mine = label == label[y]
-                    left &= ~mine
-                    queue.extend(np.flatnonzero(mine))
+            near = rest[possible(sizes[rest], sizes[x], sketch[rest], sketch[x])]
+            edges += [(int(ids[x]), int(ids[y])) for y in near]
+            left[near] = False
+            queue.extend(near.tolist())
+            if not len(rest) - len(near):
+                break
+    return edges
+
+
+def possible(n_a, n_b, a, b):
+    """Whether sets of these sizes and sketches may be similar."""
+    apart = np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+    return similar(n_a, n_b, np.maximum(apart, np.abs(n_a - n_b)))
+
+
+def crossing(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """All possible links between members of different labels."""
+    edges: list[tuple[int, int]] = []
+    for x in range(len(ids) - 1):
+        rest = np.flatnonzero(label[x + 1 :] != label[x]) + x + 1
+        if rest.size:
+            near = rest[possible(sizes[rest], sizes[x], sketch[rest], sketch[x])]
+            edges += [(int(ids[x]), int(ids[y])) for y in near]
     return edges
 
 
@@ -197,15 +211,15 @@ def signature_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "sig long, set_id long, band short")
 
 
-def candidate_edges(groups: DataFrame, parts: int) -> DataFrame:
-    """a, b from rows (sig, c1, c2, set_id, n, sketch, label, refuted), grouped by (sig, c1, c2)."""
+def candidate_edges(groups: DataFrame, parts: int, every: bool) -> DataFrame:
+    """a, b from rows (sig, c1, c2, set_id, n, sketch, label), grouped by (sig, c1, c2): a spanning forest of each group,
+    or every possible link between labels."""
 
     def solve(t: pa.Table) -> pa.RecordBatch:
         key = [t.column(c).to_numpy() for c in ("sig", "c1", "c2")]
         ids, n, label = (t.column(c).to_numpy() for c in ("set_id", "n", "label"))
         raw = t.column("sketch").combine_chunks()
         buf, at = views(raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw)
-        refuted = t.column("refuted").combine_chunks()
         new = np.ones(len(ids), bool)
         new[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
         first = np.append(np.flatnonzero(new), len(ids))
@@ -213,22 +227,16 @@ def candidate_edges(groups: DataFrame, parts: int) -> DataFrame:
         words = buf.tobytes()
         edges: list[tuple[int, int]] = []
         two = first[:-1][sizes == 2]
-        plain = np.asarray(pc.list_value_length(refuted).fill_null(0)) == 0
-        fast = two[plain[two] & (label[two] != label[two + 1])]
-        length = (at[1:] - at[:-1])[fast]
+        two = two[label[two] != label[two + 1]]
+        length, flat = (at[1:] - at[:-1])[two], np.frombuffer(words, np.uint8)
         for w in np.unique(length):
-            i = fast[length == w]
-            flat = np.frombuffer(words, np.uint8)
-            a, c = (flat[at[j][:, None] + np.arange(w)] for j in (i, i + 1))
-            apart = np.bitwise_count(a ^ c).sum(1, dtype=np.int64)
-            ok = i[similar(n[i], n[i + 1], np.maximum(apart, np.abs(n[i] - n[i + 1])))]
+            i = two[length == w]
+            a, c = (flat[at[j][:, None] + np.arange(w)].view(np.uint64) for j in (i, i + 1))
+            ok = i[possible(n[i], n[i + 1], a, c)]
             edges += zip(ids[ok].tolist(), ids[ok + 1].tolist(), strict=True)
-        slow = sizes > 2
-        slow[np.isin(first[:-1], two[~plain[two]])] = True
-        for i, j in zip(first[:-1][slow], first[1:][slow], strict=True):
+        for i, j in zip(first[:-1][sizes > 2], first[1:][sizes > 2], strict=True):
             sk = np.frombuffer(words[at[i] : at[j]], np.uint64).reshape(j - i, -1)
-            bad = {int(ids[r]): set(refuted[int(r)].as_py()) for r in range(i, j) if not plain[r]}
-            edges += spanning(ids[i:j], n[i:j], sk, label[i:j], bad)
+            edges += crossing(ids[i:j], n[i:j], sk, label[i:j]) if every else spanning(ids[i:j], n[i:j], sk)
         if not edges:
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
         e = np.unique(np.sort(np.array(edges, np.int64), axis=1), axis=0)
@@ -256,7 +264,7 @@ def candidate_edges(groups: DataFrame, parts: int) -> DataFrame:
         if held:
             yield solve(pa.Table.from_batches(held).combine_chunks())
 
-    dealt = groups.select("sig", "c1", "c2", "set_id", "n", "label", "refuted", "sketch").repartition(parts, "sig", "c1", "c2").sortWithinPartitions("sig", "c1", "c2", "set_id")
+    dealt = groups.select("sig", "c1", "c2", "set_id", "n", "label", "sketch").repartition(parts, "sig", "c1", "c2").sortWithinPartitions("sig", "c1", "c2", "set_id")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -324,28 +332,27 @@ def join(docs: DataFrame, chunk: int = CHUNK, keep: list[str] | None = None) ->
         chosen = rows.join(members.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("of_doc"))
         sets = work.write(whole_sets(docs, chosen.select("of_doc").distinct()), "elements")
         work.release()
-        links, refuted, i = [], None, 0
-        while True:
-            todo = members
-            if refuted is not None:
-                again = refuted.join(members.select("sig", "c1", "c2", F.col("set_id").alias("a")), "a").join(members.select("sig", "c1", "c2", F.col("set_id").alias("b")), ["sig", "c1", "c2", "b"])
-                todo = members.join(again.select("sig", "c1", "c2").distinct(), ["sig", "c1", "c2"], "left_semi")
-                pairs = all_refuted.select("a", "b").unionByName(all_refuted.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                lists = pairs.groupBy(F.col("a").alias("set_id")).agg(F.collect_list("b").alias("refuted"))
-                todo = todo.join(lists, "set_id", "left").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("root", "set_id"))
-            else:
-                todo = todo.withColumns({"refuted": F.lit(None).cast("array<bigint>"), "label": F.col("set_id")})
-            edges = work.write(candidate_edges(todo.join(sketched, ["set_id", "band"]), parts), f"edges{i}")
-            checked = work.write(verify(edges, sets), f"checked{i}")
-            links.append(f"{work.path}/checked{i}")
-            everything = spark.read.parquet(*links)
-            roots = components(work, everything.filter("linked").select("a", "b"), f"stars{i}_")
+        def verified(groups: DataFrame, name: str, every: bool) -> DataFrame:
+            edges = candidate_edges(groups.join(sketched, ["set_id", "band"]), parts, every)
+            if every:
+                edges = edges.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+            return work.write(verify(work.write(edges, f"edges_{name}"), sets), f"checked_{name}")
+
+        checked = verified(members.withColumn("label", F.col("set_id")), "forest", False)
+        roots = components(work, checked.filter("linked").select("a", "b"), "stars_forest_")
+        work.release()
+        label = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        apart = checked.filter("not linked").join(label("a"), "a", "left").join(label("b"), "b", "left")
+        apart = work.write(apart.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "apart")
+        if not apart.isEmpty():
+            mine = lambda c: members.select("sig", "c1", "c2", F.col("set_id").alias(c))
+            again = apart.join(mine("a"), "a").join(mine("b"), ["sig", "c1", "c2", "b"]).select("sig", "c1", "c2").distinct()
+            groups = members.join(again, ["sig", "c1", "c2"], "left_semi").join(label("set_id"), "set_id", "left")
+            more = verified(groups.withColumn("label", F.coalesce("set_id_root", "set_id")), "crossing", True)
+            if not more.filter("linked").isEmpty():
+                links = checked.unionByName(more).filter("linked").select("a", "b")
+                roots = components(work, links, "stars_all_")
             work.release()
-            refuted = checked.filter("not linked").select("a", "b")
-            if refuted.isEmpty():
-                break
-            all_refuted = everything.filter("not linked").select("a", "b")
-            i += 1
     result = rows.drop("sketches")
     result = result.withColumn("root", F.col("set_id")) if roots is None else result.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     first = result.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
