@@ -77,7 +77,7 @@ def _prepared(benchmark: DataFrame, shingle: int, percent: int) -> tuple[DataFra
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], shingle: int = SHINGLE, percent: int = PERCENT, most: dict[str, int] | None = None) -> DataFrame:
-    """The columns `keep` of every document and `items`: an array of (item_id, n_shared, n_item), empty for clean documents.
+    """The columns `keep` of every document and `_items`: an array of (item_id, n_shared, n_item), empty for clean documents.
 
     An item counts if 100 * shared shingles >= percent * its distinct shingles. Words are lower-cased runs of letters
     and digits; an item of fewer words than a shingle counts as one shingle of all its words. Null and empty texts match
@@ -88,7 +88,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], shingle: int
     items = Work(docs.sparkSession, "decontaminate").write(items, "items")
     kind = f"array<struct<item_id:{benchmark.schema['item_id'].dataType.simpleString()},n_shared:int,n_item:int>>"
     if not lengths:
-        return docs.select(*keep, F.array().cast(kind).alias("items"))
+        return docs.select(*keep, F.array().cast(kind).alias("_items"))
     n_index, n_shingles = items.agg(F.sum(F.size("minima")), F.sum("n_item")).first()
     if n_index <= most["index"] and n_shingles <= most["shingles"]:
         return _by_constants(docs, items.orderBy("item_id").collect(), lengths, keep, percent, kind)
@@ -115,7 +115,7 @@ def _by_constants(docs: DataFrame, items: list, lengths: list[int], keep: list[s
     kept = F.filter(exact, lambda x: F.lit(100) * x["n_shared"] >= F.lit(percent) * x["n_item"])
     items_of = F.when(F.size("_hits") > 0, kept).otherwise(F.array()).cast(kind)
     # as the output of a generator, so that filters on it aren't pushed below, where they would compute it all again
-    return df.select(*keep, F.explode_outer(F.array(items_of)).alias("items"))
+    return df.select(*keep, F.explode_outer(F.array(items_of)).alias("_items"))
 
 
 def _by_joins(docs: DataFrame, items: DataFrame, lengths: list[int], keep: list[str], percent: int, kind: str) -> DataFrame:
@@ -128,20 +128,20 @@ def _by_joins(docs: DataFrame, items: DataFrame, lengths: list[int], keep: list[
     wanted = candidates.join(items.select("item_id", "n_item", F.explode("shingles").alias("s")), "item_id")
     shared = wanted.join(rows, ["_key", "s"]).groupBy("_key", "item_id", "n_item").agg(F.count("*").cast("int").alias("n_shared"))
     good = shared.filter(F.lit(100) * F.col("n_shared") >= F.lit(percent) * F.col("n_item"))
-    per_doc = good.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("item_id", "n_shared", "n_item"))).cast(kind).alias("items"))
-    return docs.withColumn("_key", key).join(per_doc, "_key", "left").select(*keep, F.coalesce("items", F.array().cast(kind)).alias("items"))
+    per_doc = good.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("item_id", "n_shared", "n_item"))).cast(kind).alias("_items"))
+    return docs.withColumn("_key", key).join(per_doc, "_key", "left").select(*keep, F.coalesce("_items", F.array().cast(kind)).alias("_items"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row for each document and item found in it: doc_id, item_id, n_shared, n_item, containment."""
     found = matches(docs, benchmark, ["doc_id"], **options)
-    return found.select("doc_id", F.explode_outer("items").alias("x")).filter("x is not null").select("doc_id", "x.item_id", "x.n_shared", "x.n_item", (F.col("x.n_shared") / F.col("x.n_item")).alias("containment"))
+    return found.select("doc_id", F.explode_outer("_items").alias("x")).filter("x is not null").select("doc_id", "x.item_id", "x.n_shared", "x.n_item", (F.col("x.n_shared") / F.col("x.n_item")).alias("containment"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents, with all their columns, in which no item is found."""
     keep = docs.columns
-    return matches(docs, benchmark, keep, **options).filter(F.size("items") == 0).select(*keep)
+    return matches(docs, benchmark, keep, **options).filter(F.size("_items") == 0).select(*keep)
 
 
 SQL = r"""
