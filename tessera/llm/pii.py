@@ -15,19 +15,39 @@ KEY = "tessera-surrogates-1"
 MOST_CONSTANTS = 1000
 MOST_ATTEMPTS = 16
 
-# How the entities look. Order matters; the first that fits a match names its type.
+# How the entities look.
+NAME = r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"
+MEN, WOMEN = "Mr|Mr\\.|Herr|Herrn|Monsieur|Señor|Sr\\.|Don|Господин|господин|г-н", "Mrs|Mrs\\.|Ms|Ms\\.|Miss|Frau|Madame|Mme|Señora|Sra\\.|Doña|Госпожа|госпожа|г-жа"
 PATTERNS: dict[str, str] = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+\-]*@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
-    "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])|(?<=(?i:token|secret|password|passwd|apikey|api_key|access_key) {0,3}[=:] {0,3}[\x22']?)[A-Za-z0-9_\-+/.]{8,}(?<![.])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+\-]*+@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)+",
+    "hex": r"[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
+    "ipv6": r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "secret": r"(?<=(?i:token|secret|password|passwd|apikey|api_key|access_key) {0,3}[=:] {0,3}[\x22']?)[A-Za-z0-9_\-+/.]{8,}(?<![.])",
+    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "phone": r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9.\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
-    "man": r"(?<=(?<!\p{L})(?:Mr|Mr\.|Herr|Herrn|Monsieur|Señor|Sr\.|Don) )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?|(?<=(?<!\p{L})(?:Господин|господин|г-н) )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
-    "woman": r"(?<=(?<!\p{L})(?:Mrs|Mrs\.|Ms|Ms\.|Miss|Frau|Madame|Mme|Señora|Sra\.|Doña) )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?|(?<=(?<!\p{L})(?:Госпожа|госпожа|г-жа) )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "woman": rf"(?<=(?<!\p{{L}})(?:{WOMEN}) ){NAME}",
+    "man": rf"(?<=(?<!\p{{L}})(?:{MEN}) ){NAME}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+
+
+def _either(*names: str) -> str:
+    return "(?:" + "|".join(PATTERNS[n] for n in names) + ")"
+
+
+#: Any entity. Each group begins with a cheap look at one or two characters, so that most places are passed at once:
+#: what begins a run of letters or digits, what follows a sign of assignment, what begins with a digit, "+" or "(", and
+#: a capital after a space.
+ANY = "|".join([
+    rf"(?<![\p{{L}}\p{{N}}._%+\-])(?=[\p{{L}}\p{{N}}]){_either('email', 'hex', 'iban', 'ipv6')}",
+    rf"(?<=[=:][ \x22']{{0,4}})(?=[A-Za-z0-9]){PATTERNS['secret']}",
+    rf"(?=[0-9+(]){_either('ip', 'ssn', 'phone', 'card')}",
+    rf"(?<= )(?=\p{{Lu}}){_either('woman', 'man')}",
+])
+#: What every text with an entity has.
+MAYBE = rf"[0-9@]|[=:][ \x22']{{0,4}}[A-Za-z]|(?<!\p{{L}})(?:{MEN}|{WOMEN}) \p{{Lu}}|[A-Fa-f]{{32}}"
 # Given names by gender and script, and syllables of family names by script.
 GIVEN = {
     ("man", "latin"): "Adam Boris Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leo Martin Nils Oscar Paul".split(),
@@ -40,11 +60,10 @@ HEX = "0123456789abcdef"
 
 
 def _types(match: Column) -> Column:
-    out = F.lit("card")
-    for name in ("ssn", "phone", "ip", "iban", "email"):
-        out = F.when(match.rlike(rf"^(?:{PATTERNS[name]})$"), F.lit(name)).otherwise(out)
-    named = match.rlike(r"^\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?$")
-    return F.when(named, F.lit("name")).when(~match.rlike(r"^[0-9 \-]+$") & ~match.contains("@") & ~match.rlike(r"[.:()+]") & ~match.rlike(rf"^(?:{PATTERNS['iban']})$"), F.lit("secret")).otherwise(out)
+    out = F.lit("secret")
+    for name in ("card", "phone", "ssn", "ipv6", "ip", "iban", "email"):
+        out = F.when(match.rlike(rf"^(?:{PATTERNS[name]})$"), F.lit("ip" if name == "ipv6" else name)).otherwise(out)
+    return F.when(match.rlike(rf"^{NAME}$"), F.lit("name")).when(match.rlike(rf"^{PATTERNS['hex']}$"), F.lit("secret")).otherwise(out)
 
 
 def _canonical(kind: Column, match: Column) -> Column:
@@ -132,14 +151,16 @@ def surrogate(kind: Column, match: Column, attempt: Column, key: str = KEY) -> C
 
 def _found(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep`, `_pieces` (text between entities) and `_found` (kind, match), null where nothing is found."""
-    t = F.col(text)
-    hit = t.rlike(ANY)
+    df = docs.select(*keep, F.col(text).alias("_text"))
+    # one search for each text; only texts with an entity are taken apart
+    df = df.withColumn("_hit", F.when(F.col("_text").rlike(MAYBE), F.col("_text").rlike(ANY)))
+    t, hit = F.col("_text"), F.col("_hit")
     women = F.regexp_extract_all(t, F.lit(PATTERNS["woman"]), F.lit(0))
-    df = docs.select(*keep, t.alias("_text"), F.when(hit, F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1))).alias("_m"), F.when(hit, F.split(t, ANY, -1)).alias("_pieces"), F.when(hit, women).alias("_women"))
+    df = df.select(*keep, "_text", F.when(hit, F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1))).alias("_m"), F.when(hit, F.split(t, ANY, -1)).alias("_pieces"), F.when(hit & t.rlike(f"(?:{WOMEN}) "), women).alias("_women"))
 
     def typed(m: Column) -> Column:
         kind = _types(m)
-        return F.struct(F.when(kind == "name", F.when(F.array_contains(F.col("_women"), m), F.lit("woman")).otherwise(F.lit("man"))).otherwise(kind).alias("kind"), m.alias("match"))
+        return F.struct(F.when(kind == "name", F.when(F.coalesce(F.array_contains(F.col("_women"), m), F.lit(False)), F.lit("woman")).otherwise(F.lit("man"))).otherwise(kind).alias("kind"), m.alias("match"))
 
     return df.select(*keep, "_text", "_pieces", F.transform("_m", typed).alias("_found"))
 
