@@ -216,11 +216,12 @@ def compute(rows: DataFrame, column: str, formulas: dict[str, str], defaults: di
     return rows.withColumn("formula_errors", errors).drop(*[f"_failed_{f}" for f in failed])
 
 
-def compute_items(array: Column, formulas: dict[str, str], defaults: dict[str, object], root: Column) -> Column:
-    """The array with computed fields in each element. Neighbours are read as they are stored or already computed."""
+def compute_items(rows: DataFrame, column: str, formulas: dict[str, str], defaults: dict[str, object], root: str) -> DataFrame:
+    """An array column with computed fields in each element. Neighbours are read as stored or as computed so far; each
+    formula is a step of its own, so that what the next ones read isn't computed again for each use."""
     for f in evaluation_order(formulas):
-        array = F.transform(array, _item_formula(f, parse(formulas[f]), defaults.get(f, 0.0), array, root))
-    return array
+        rows = rows.withColumn(column, F.transform(column, _item_formula(f, parse(formulas[f]), defaults.get(f, 0.0), F.col(column), F.col(root))))
+    return rows
 
 
 def _item_formula(name: str, node: Node, default: object, array: Column, root: Column):

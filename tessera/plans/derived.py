@@ -73,7 +73,7 @@ def line_arrays(spark, sf_dir):
 @table_query("w3_array_neighbours", f"SELECT l_orderkey, CAST(i AS DOUBLE) AS place, CAST(coalesce(p, 0) AS DOUBLE) AS before, CAST(coalesce(x, 0) AS DOUBLE) AS after, CAST(q - coalesce(p, 0) AS DOUBLE) AS step, i = 0 AS is_first, CAST(q * 3 AS DOUBLE) AS scaled FROM {LINES}")
 def w3(spark, sf_dir):
     f = {"place": "#index", "before": "if(isnull(@prev), 0, @prev.value)", "after": "if(isnull(@next), 0, @next.value)", "step": "value - if(isnull(@prev), 0, @prev.value)", "is_first": "#first", "scaled": "value * (1 + /rate)"}
-    out = line_arrays(spark, sf_dir).select("l_orderkey", F.explode(formula.compute_items(F.col("items"), f, {"is_first": False}, F.col("root"))).alias("x"))
+    out = formula.compute_items(line_arrays(spark, sf_dir), "items", f, {"is_first": False}, "root").select("l_orderkey", F.explode_outer("items").alias("x"))
     return out.select("l_orderkey", *[F.col(f"x.{k}").alias(k) for k in f])
 
 

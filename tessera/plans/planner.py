@@ -9,6 +9,7 @@ import hashlib
 import json
 from collections import defaultdict
 from dataclasses import dataclass, field
+from datetime import datetime
 from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame
@@ -80,6 +81,62 @@ def _with_target(schema: dict, old: str, new: str) -> dict:
     return json.loads(text.replace(json.dumps({"foreignKey": old})[1:-1], json.dumps({"foreignKey": new})[1:-1]))
 
 
+def apply_migrations(entries: list[dict], done: set[str]) -> list[tuple[str, str]]:
+    """Status of each entry applied in order: skipped if it is done already, else applied or failed, which ends the run."""
+    out, so_far = [], []
+    for e in entries:
+        so_far.append(e)
+        if e["id"] in done:
+            out.append((e["id"], "skipped"))
+        elif any(p.startswith(f"{e['id']}:") for s in replay(so_far).values() for p in s.problems):
+            return [*out, (e["id"], "failed")]
+        else:
+            out.append((e["id"], "applied"))
+    return out
+
+
+def attribute(entries: list[dict], published: set[str], current: set[str]) -> list[tuple[str, str]]:
+    """published, pending (of a table that there is now, through renames) or transient (of one that is gone again)."""
+    names: dict[str, str] = {}
+    for e in reversed([e for e in entries if e["id"] not in published]):
+        if e["changeType"] == "rename":
+            names[e["tableId"]] = names.get(e["nextTableId"], e["nextTableId"])
+    now = lambda t: names.get(t, t)
+    return [(e["id"], "published" if e["id"] in published else "pending" if now(e["tableId"]) in current else "transient") for e in entries]
+
+
+def renumber(entries: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """(new id, old key) of entries in order: an id that isn't later than the one before becomes a millisecond later."""
+    from tessera.operators.versioning import next_migration_id
+
+    out: list[tuple[str, str]] = []
+    for key, at in entries:
+        if out and at <= out[-1][0]:
+            at = next_migration_id(datetime.fromisoformat(at.replace("Z", "+00:00")), [out[-1][0]], [])
+        out.append((at, key))
+    return out
+
+
+def leaves(schema: dict, at: str = "") -> dict[str, dict]:
+    if schema.get("type") == "object":
+        return {k: v for name, sub in schema["properties"].items() for k, v in leaves(sub, f"{at}.{name}" if at else name).items()}
+    return {at: schema}
+
+
+def structure(before: dict, after: dict, patches: list[dict]) -> list[tuple[str, str]]:
+    """(path, added, removed, moved, changed or annotated) of the leaves that differ, with moves taken from the patches."""
+    from tessera.functions.schema import steps_of
+
+    a, b = leaves(before), leaves(after)
+    moved = {".".join(steps_of(p["path"])): ".".join(steps_of(p["from"])) for p in patches if p["op"] == "move"}
+    out = [(new, "moved") for new, old in moved.items() if new in b and old in a]
+    sources = {moved[new] for new, _ in out}
+    out += [(p, "added") for p in b if p not in a and p not in moved]
+    out += [(p, "removed") for p in a if p not in b and p not in sources]
+    both = [p for p in b if p in a and a[p] != b[p]]
+    return out + [(p, "changed" if a[p].get("type") != b[p].get("type") else "annotated") for p in both]
+
+
 def backfill_order(references: dict[str, set[str]]) -> list[str]:
     """Tables so that each comes after those it refers to, in code point order; a cycle is cut at its first table."""
     left = {t: {r for r in refs if r in references and r != t} for t, refs in references.items()}
