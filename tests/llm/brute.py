@@ -94,15 +94,16 @@ def contained(rows, items, percent=80):
     def grams(w, k):
         return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
-    out = []
+    out, words_of = [], {d: plain_words(t) for d, t in rows}
+    sets = {(d, k): grams(w, k) for d, w in words_of.items() for k in range(1, 6)}
     for item, text in items:
         w = plain_words(text)
         if not w:
             continue
         k = min(5, len(w))
         wanted = grams(w, k)
-        for d, t in rows:
-            n = len(wanted & grams(plain_words(t), k))
+        for d in words_of:
+            n = len(wanted & sets[d, k])
             if n and 100 * n >= percent * len(wanted):
                 out.append((d, item, n, len(wanted)))
     return sorted(out)
