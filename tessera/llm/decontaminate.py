@@ -43,7 +43,9 @@ def shingle_arrays(df: DataFrame, text: str, lengths: list[int], whole_if_short:
         arrays = out.otherwise(grams(lengths[-1]))
     else:
         arrays = F.concat(*[grams(k) for k in lengths]) if len(lengths) > 1 else grams(lengths[0])
-    return df.withColumn("_n", n).withColumn("_shingles", F.array_distinct(arrays)).drop("_h")
+    # out of a generator, so that filters on it stay above and nothing below is computed again for them
+    kept = [c for c in df.columns if c != "_h"]
+    return df.select(*kept, n.alias("_n"), F.explode_outer(F.array(F.array_distinct(arrays))).alias("_shingles"))
 
 
 def minima(size: int, percent: int) -> int:
@@ -114,7 +116,6 @@ def _by_constants(docs: DataFrame, items: list, lengths: list[int], keep: list[s
     exact = F.transform(found, lambda i: F.struct(F.get(ids, i).alias("item_id"), F.size(F.array_intersect(F.get(shingles, i), F.col("_shingles"))).alias("n_shared"), F.size(F.get(shingles, i)).alias("n_item")))
     kept = F.filter(exact, lambda x: F.lit(100) * x["n_shared"] >= F.lit(percent) * x["n_item"])
     items_of = F.when(F.size("_hits") > 0, kept).otherwise(F.array()).cast(kind)
-    # as the output of a generator, so that filters on it aren't pushed below, where they would compute it all again
     return df.select(*keep, F.explode_outer(F.array(items_of)).alias("_items"))
 
 
@@ -122,7 +123,7 @@ def _by_joins(docs: DataFrame, items: DataFrame, lengths: list[int], keep: list[
     """A benchmark of any size: shingles meet the index by a shuffled join, and only candidates are verified."""
     key = F.xxhash64("doc_id", "text")
     rows = shingle_arrays(docs.select(key.alias("_key"), F.col("text").alias("_text")).distinct(), "_text", lengths)
-    rows = rows.select("_key", F.explode("_shingles").alias("s"))
+    rows = rows.select("_key", F.explode_outer("_shingles").alias("s")).filter("s is not null")
     index = items.select("item_id", F.explode("minima").alias("s"))
     candidates = rows.join(index, "s").select("_key", "item_id").distinct()
     wanted = candidates.join(items.select("item_id", "n_item", F.explode("shingles").alias("s")), "item_id")
