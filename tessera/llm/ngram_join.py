@@ -320,7 +320,7 @@ def join(docs: DataFrame, chunk: int = CHUNK, keep: list[str] | None = None) ->
     if not members.isEmpty():
         ids = members.select("set_id", "band").distinct()
         by_band = rows.select("set_id", F.col("n_shingles").alias("n"), F.explode("sketches").alias("s")).select("set_id", "n", "s.band", "s.sketch")
-        sketched = work.write(by_band.join(ids, ["set_id", "band"], "left_semi").dropDuplicates(["set_id", "band"]), "sketches")
+        sketched = work.write(by_band.dropDuplicates(["set_id", "band"]).join(ids, ["set_id", "band"], "left_semi"), "sketches")
         large = members.groupBy("sig").agg(F.count("*").alias("c")).filter(F.col("c") > chunk)
         large = work.write(large.select("sig", F.ceil(F.col("c") / chunk).cast("int").alias("chunks")), "large")
         if large.isEmpty():
@@ -329,7 +329,7 @@ def join(docs: DataFrame, chunk: int = CHUNK, keep: list[str] | None = None) ->
             mine = F.pmod("set_id", "chunks").cast("int")
             members = members.join(large, "sig", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
             members = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("sig", "band", "set_id", F.least(mine, "o").alias("c1"), F.greatest(mine, "o").alias("c2"))
-        chosen = rows.join(members.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("of_doc"))
+        chosen = rows.groupBy("set_id").agg(F.min("doc_id").alias("of_doc")).join(members.select("set_id").distinct(), "set_id", "left_semi")
         sets = work.write(whole_sets(docs, chosen.select("of_doc").distinct()), "elements")
         work.release()
         def verified(groups: DataFrame, name: str, every: bool) -> DataFrame:
