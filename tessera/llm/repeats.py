@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import CHUNK_BYTES, Work, hash_words, mix, multipliers, slices, tasks_for, views, word_places, words_of
 
-#: Longest run of windows in a block; two window hashes then cover a block.
+#: Longest run of windows in a block, where the window allows it (`Kind.longest_run`).
 LONGEST_RUN = 96
 #: Anchors with more distinct blocks than this are settled window by window.
 MOST_BLOCKS = 20_000
@@ -37,6 +37,11 @@ class Kind:
     window: int
     anchor: int  # K, units in an anchor
 
+    @property
+    def longest_run(self) -> int:
+        """Such that the hashes of a block's first and last window cover the block."""
+        return min(LONGEST_RUN, self.window)
+
     def sums(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
         """Hashes of G consecutive units at every place, row ends, and G; a hash of more is combined from these."""
         if self.words:
@@ -95,11 +100,12 @@ def runs(kind: Kind, part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     row = np.searchsorted(ends, first, "right") - 1
     good = first + w <= ends[row + 1]
     first, length = first[good], length[good]
-    if length.size and length.max() > LONGEST_RUN:  # periodic texts
-        pieces = -(-length // LONGEST_RUN)
+    most = kind.longest_run
+    if length.size and length.max() > most:  # periodic texts
+        pieces = -(-length // most)
         base, step = np.repeat(first, pieces), np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        length = np.minimum(np.repeat(length, pieces) - step * LONGEST_RUN, LONGEST_RUN)
-        first = base + step * LONGEST_RUN
+        length = np.minimum(np.repeat(length, pieces) - step * most, most)
+        first = base + step * most
     if not first.size:
         return none
     block = mix(gram_hash(sums, g, w, 2, first) + gram_hash(sums, g, w, 3, first + length - 1) * np.uint64(3) + length.astype(np.uint64))

@@ -127,6 +127,20 @@ def test_substrings(docs, rows, odd, odd_rows, most_blocks):
         assert got == brute.substrings(want)
 
 
+def test_passages_that_differ_in_the_middle(spark):
+    """One anchor recurs along the whole text, and copies differ in a word that lies in neither end of its blocks."""
+    from tessera.llm.fm_dedup import drop_passages
+
+    line = base_text(11, 20).split()
+    rows = [(1, " ".join(line * 20))]
+    for i in range(12):
+        w = line * 20
+        w[70] = f"other{i}"
+        rows.append((2 + i, " ".join(w)))
+    got = drop_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute.passages(rows)
+
+
 def test_repeats_of_odd_tables(odd, empty):
     from tessera.llm.fm_dedup import drop_passages
     from tessera.llm.suffix_dedup import drop_repeats
