@@ -38,16 +38,19 @@ def _either(*names: str) -> str:
 
 
 #: Any entity. Each group begins with a cheap look at one or two characters, so that most places are passed at once:
-#: what begins a run of letters or digits, what follows a sign of assignment, what begins with a digit, "+" or "(", and
-#: a capital after a space.
+#: what begins a run of letters or digits (or follows another entity), what follows a sign of assignment, what begins
+#: with a digit, "+" or "(", and a capital after a space.
 ANY = "|".join([
-    rf"(?<![\p{{L}}\p{{N}}._%+\-])(?=[\p{{L}}\p{{N}}]){_either('email', 'hex', 'iban', 'ipv6')}",
-    rf"(?<=[=:][ \x22']{{0,4}})(?=[A-Za-z0-9]){PATTERNS['secret']}",
+    rf"(?:(?<![\p{{L}}\p{{N}}])|\G)(?=[\p{{L}}\p{{N}}]){_either('email')}",
+    rf"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]){_either('hex')}",
+    rf"(?<=[=:][ \x22']{{0,4}})(?=[A-Za-z0-9_\-+/.]){PATTERNS['secret']}",
+    rf"(?<![0-9A-Za-z])(?=[A-Z]){_either('iban')}",
+    rf"(?<![0-9A-Fa-f:])(?=[0-9A-Fa-f]){_either('ipv6')}",
     rf"(?=[0-9+(]){_either('ip', 'ssn', 'phone', 'card')}",
     rf"(?<= )(?=\p{{Lu}}){_either('woman', 'man')}",
 ])
 #: What every text with an entity has.
-MAYBE = rf"[0-9@]|[=:][ \x22']{{0,4}}[A-Za-z]|(?<!\p{{L}})(?:{MEN}|{WOMEN}) \p{{Lu}}|[A-Fa-f]{{32}}"
+MAYBE = rf"[0-9@]|[=:][ \x22']{{0,4}}[A-Za-z0-9_\-+/.]|(?<!\p{{L}})(?:{MEN}|{WOMEN}) \p{{Lu}}|[A-Fa-f]{{32}}"
 # Given names by gender and script, and syllables of family names by script.
 GIVEN = {
     ("man", "latin"): "Adam Boris Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leo Martin Nils Oscar Paul".split(),

@@ -297,6 +297,19 @@ def test_surrogates(spark, odd, empty):
     assert replace(empty, ["doc_id"]).count() == 0 and replace(repeated(odd), ["doc_id", "lang", "text"]).count() == repeated(odd).count()
 
 
+def test_entities_after_signs(spark):
+    """An entity may follow a sign that could be part of one, a letter of another script, or another entity."""
+    from tessera.llm.pii import replace
+
+    digits = "c9c8b45435718dcc700c184a7e303cdc"
+    cases = [("_bob@corp.com_", "bob@", "email"), ("-bob@corp.com", "bob@", "email"), ("mailto:%20bob@corp.com", "bob@", "email"), ("+49 151 1234567bob@corp.com", "bob@", "email")]
+    cases += [(f"{a}{digits}", digits, "secret") for a in ("key-", "sk_", "x.", "ключ")] + [(f"iban{a}DE89370400440532013000", "370400", "iban") for a in "-_.%"]
+    cases += [(f"addr{a}2001:db8:1:2:3:4:5:6", "db8:1:2", "ip") for a in ("-", "_", ".", "r")] + [(f"password={a}hunterhunter", "hunterhunter", "secret") for a in "_-+/."] + [("token=AB12CDEFGHIJKLMN+restofit", "restofit", "secret")]
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in replace(df, ["doc_id"]).collect()}
+    assert [(t, kind) for i, (t, clear, kind) in enumerate(cases) if clear in got[i].text or kind not in got[i].kinds] == []
+
+
 @pytest.mark.parametrize("most", [1000, 0])
 def test_distinct_entities_stay_distinct(spark, most):
     """Single-digit addresses have few surrogates, so many collide and are drawn again."""
