@@ -5,15 +5,20 @@ Only DataFrame functions are used.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Work
+from tessera.llm.common import Work, tasks_for
 
 KEY = "tessera-surrogates-1"
 #: Up to so many colliding entities go into the plan as constants; beyond that they are joined.
 MOST_CONSTANTS = 1000
+#: Surrogates are drawn so many times again; from then on an attempt is a number that the surrogate itself holds.
 MOST_ATTEMPTS = 16
+#: Numbers are given out so many times; they double each time, so more would mean a space without an end of taken ones.
+MOST_NUMBERINGS = 24
 
 # How the entities look.
 NAME = r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"
@@ -103,9 +108,9 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda a, b: a + b) % 10
 
 
-def _card(match: Column, stream: Column) -> Column:
+def _card(match: Column, stream: Column, number: Column) -> Column:
     """The first digit and separators stay; a valid check digit stays valid."""
-    made = F.concat(F.substring(match, 1, 1), F.substring(_like(match, stream, F.lit(False)), F.lit(2), F.length(match)))
+    made = F.concat(F.substring(match, 1, 1), F.substring(_like(match, stream, F.lit(False)), F.lit(2), F.length(match)), F.when(number != "", F.concat(number, F.lit("0"))).otherwise(F.lit("")))
     bare = F.regexp_replace(made, "[^0-9]", "")
     zero = F.concat(F.substring(bare, F.lit(1), F.length(bare) - 1), F.lit("0"))
     check = F.pmod(F.lit(10) - _luhn(zero), F.lit(10)).cast("string")
@@ -113,29 +118,34 @@ def _card(match: Column, stream: Column) -> Column:
     return F.when(_luhn(F.regexp_replace(match, "[^0-9]", "")) == 0, fixed).otherwise(made)
 
 
-def _ip(match: Column, stream: Column) -> Column:
+def _ip(match: Column, stream: Column, attempt: Column) -> Column:
     def octet(p: Column, i: Column) -> Column:
         h = _hex_at(stream, i * 2) * 256 + _hex_at(stream, i * 2 + 1)
         return F.when(F.length(p) == 1, h % 9 + 1).when(F.length(p) == 2, h % 90 + 10).otherwise(h % 155 + 100).cast("string")
 
-    return F.when(match.contains(":"), _like(match, stream, F.lit(True))).otherwise(F.array_join(F.transform(F.split(match, r"\."), octet), "."))
+    drawn = F.when(match.contains(":"), _like(match, stream, F.lit(True))).otherwise(F.array_join(F.transform(F.split(match, r"\."), octet), "."))
+    n = attempt.cast("long") - MOST_ATTEMPTS - 1
+    octets = F.concat_ws(".", *[(F.floor(n / F.lit(156**i)) % 156 + 100).cast("string") for i in (3, 2, 1, 0)])
+    groups = F.lower(F.lpad(F.hex(n), 8, "0"))
+    numbered = F.when(match.contains(":"), F.concat_ws(":", F.lit("2001:db8:0:0:0:0"), F.substring(groups, 1, 4), F.substring(groups, 5, 4))).otherwise(octets)
+    return F.when(attempt > MOST_ATTEMPTS, numbered).otherwise(drawn)
 
 
-def _email(match: Column, stream: Column) -> Column:
+def _email(match: Column, stream: Column, number: Column) -> Column:
     """Local part in the same format; domains go, coreferent among themselves, to names below reserved domains."""
     local, domain = F.substring_index(match, "@", 1), F.lower(F.substring_index(match, "@", -1))
     top = F.substring_index(domain, ".", -1)
-    made = F.concat(_like(local, stream, F.lit(False)), F.lit("@"), F.lit("m"), F.substring(F.sha2(F.concat(F.lit(KEY + "|domain|"), domain), 256), 1, 8), F.lit(".example."), F.when(top.isin("com", "net", "org"), top).otherwise(F.lit("com")))
+    made = F.concat(_like(local, stream, F.lit(False)), number, F.lit("@"), F.lit("m"), F.substring(F.sha2(F.concat(F.lit(KEY + "|domain|"), domain), 256), 1, 8), F.lit(".example."), F.when(top.isin("com", "net", "org"), top).otherwise(F.lit("com")))
     return F.when(F.upper(match) == match, F.upper(made)).otherwise(made)
 
 
-def _name(match: Column, gender: Column, stream: Column) -> Column:
+def _name(match: Column, gender: Column, stream: Column, number: Column) -> Column:
     def from_list(names: list[str], at: Column) -> Column:
         return F.get(F.array(*map(F.lit, names)), at)
 
     def by_script(script: str) -> Column:
         given = F.when(gender == "woman", from_list(GIVEN["woman", script], _hex_at(stream, F.lit(1)) % 16)).otherwise(from_list(GIVEN["man", script], _hex_at(stream, F.lit(1)) % 16))
-        family = F.initcap(F.concat(*[from_list(SYLLABLES[script], _hex_at(stream, F.lit(2 + i)) % 16) for i in range(4)]))
+        family = F.initcap(F.concat(*[from_list(SYLLABLES[script], _hex_at(stream, F.lit(2 + i)) % 16) for i in range(4)], F.array_join(F.transform(F.filter(F.split(number, ""), lambda c: c != ""), lambda c: from_list(SYLLABLES[script], c.cast("int"))), "")))
         return F.when(match.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family)
 
     return F.when(match.rlike(r"\p{IsCyrillic}"), by_script("cyrillic")).otherwise(by_script("latin"))
@@ -144,11 +154,12 @@ def _name(match: Column, gender: Column, stream: Column) -> Column:
 def surrogate(kind: Column, match: Column, attempt: Column, key: str = KEY) -> Column:
     """The replacement for one way of writing an entity; the same for all documents and, but for form, all ways."""
     stream = F.sha2(F.concat(F.lit(key + "|"), kind, F.lit("|"), attempt.cast("string"), F.lit("|"), _canonical(kind, match)), 512)
+    number = F.when(attempt > MOST_ATTEMPTS, F.lpad(attempt.cast("string"), 14, "0")).otherwise(F.lit(""))
     return (
-        F.when(kind == "email", _email(match, stream)).when(kind == "ip", _ip(match, stream)).when(kind == "card", _card(match, stream))
-        .when(kind.isin("man", "woman"), _name(match, kind, stream)).when(kind == "secret", _like(match, stream, F.lower(match).rlike("^[0-9a-f]+$")))
-        .when(kind == "phone", F.concat(F.regexp_extract(match, r"^\+[0-9]{1,3}(?=[ .\-(])", 0), _like(F.regexp_replace(match, r"^\+[0-9]{1,3}(?=[ .\-(])", ""), stream, F.lit(False))))
-        .when(kind == "iban", F.concat(F.substring(match, 1, 2), _like(F.substring(match, F.lit(3), F.length(match)), stream, F.lit(False)))).otherwise(_like(match, stream, F.lit(False)))
+        F.when(kind == "email", _email(match, stream, number)).when(kind == "ip", _ip(match, stream, attempt)).when(kind == "card", _card(match, stream, number))
+        .when(kind.isin("man", "woman"), _name(match, kind, stream, number)).when(kind == "secret", F.concat(_like(match, stream, F.lower(match).rlike("^[0-9a-f]+$")), number))
+        .when(kind == "phone", F.concat(F.regexp_extract(match, r"^\+[0-9]{1,3}(?=[ .\-(])", 0), _like(F.regexp_replace(match, r"^\+[0-9]{1,3}(?=[ .\-(])", ""), stream, F.lit(False)), number))
+        .when(kind == "iban", F.concat(F.substring(match, 1, 2), _like(F.substring(match, F.lit(3), F.length(match)), stream, F.lit(False)), number)).otherwise(F.concat(_like(match, stream, F.lit(False)), number))
     )
 
 
@@ -172,23 +183,44 @@ def _collisions(work: Work, docs: DataFrame, key: str) -> DataFrame:
     """kind, canonical, attempt of the entities whose first surrogate is another's or is itself in the corpus.
 
     Of entities with one surrogate the first in order keeps it; the others try again with the next attempt, and are
-    checked against all that are settled.
+    checked against all that are settled. Those that MOST_ATTEMPTS draws don't settle are numbered, and their surrogates
+    made longer by the number, so that they differ from each other. What still meets a surrogate or an entity of the
+    corpus takes numbers beyond the double of all before, so that any stretch of taken ones is soon passed.
     """
     each = _found(docs, []).select(F.explode_outer("_found").alias("x")).filter("x is not null")
     each = each.select("x.kind", "x.match", _canonical(F.col("x.kind"), F.col("x.match")).alias("canonical"))
     each = work.write(each.groupBy("kind", "canonical").agg(F.min("match").alias("match")), "entities")
     real = each.select("kind", F.col("canonical").alias("made"))
-    state, attempt = each.withColumn("attempt", F.lit(0)), 0
+    state, attempt, number = each.withColumn("attempt", F.lit(0).cast("long")), 0, MOST_ATTEMPTS + 1
     while True:
         made = state.withColumn("made", _canonical(F.col("kind"), surrogate(F.col("kind"), F.col("match"), F.col("attempt"), key)))
         made = made.join(real.withColumn("taken", F.lit(True)), ["kind", "made"], "left")
         first = made.filter("taken is null").groupBy("kind", "made").agg(F.min(F.struct("attempt", "canonical")).alias("first"))
         bad = made.join(first, ["kind", "made"], "left").select("kind", "canonical", "match", "attempt", F.coalesce(F.struct("attempt", "canonical") != F.col("first"), F.lit(True)).alias("again"))
         bad = work.write(bad, f"round{attempt}")
-        if attempt == MOST_ATTEMPTS or bad.filter("again").isEmpty():
+        left = bad.filter("again").count()
+        if not left:
             return bad.filter("attempt > 0").select("kind", "canonical", "attempt")
-        state = bad.select("kind", "canonical", "match", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
         attempt += 1
+        if attempt <= MOST_ATTEMPTS:
+            state = bad.select("kind", "canonical", "match", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
+        elif attempt > MOST_ATTEMPTS + MOST_NUMBERINGS:
+            raise ValueError(f"{left} entities find no surrogate of their own")
+        else:
+            numbers = _numbered(work, bad.filter("again").select("kind", "canonical"), f"numbers{attempt}")
+            state = bad.join(numbers, ["kind", "canonical"], "left").select("kind", "canonical", "match", F.coalesce(F.col("number") + number, F.col("attempt")).alias("attempt"))
+            number = 2 * (number + left)
+
+
+def _numbered(work: Work, rows: DataFrame, name: str) -> DataFrame:
+    """rows with `number`, from 0 in the order of kind and canonical; only the sizes of partitions are put together."""
+    order = ["kind", "canonical"]
+    rows = rows.repartitionByRange(tasks_for(rows.sparkSession), *order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
+    rows = work.write(rows, name).withColumns({"part": F.shiftright("id", 33), "at": F.col("id").bitwiseAND((1 << 33) - 1)})
+    sizes = sorted((r["part"], r["count"]) for r in rows.groupBy("part").count().collect())
+    before = dict(zip([p for p, _ in sizes], itertools.accumulate([0, *[n for _, n in sizes]])))
+    table = F.create_map(*[F.lit(v).cast("long") for kv in before.items() for v in kv])
+    return rows.select(*order, (F.col("at") + F.element_at(table, F.col("part"))).alias("number"))
 
 
 def replace(docs: DataFrame, keep: list[str], key: str = KEY, most_constants: int = MOST_CONSTANTS) -> DataFrame:
@@ -209,7 +241,7 @@ def replace(docs: DataFrame, keep: list[str], key: str = KEY, most_constants: in
     if not count:
         attempt = lambda kind, match: zero
     elif count <= most_constants:
-        table = F.create_map(*[F.lit(v) for r in special.collect() for v in (f"{r['kind']}|{r['canonical']}", r["attempt"])])
+        table = F.create_map(*[v for r in special.collect() for v in (F.lit(f"{r['kind']}|{r['canonical']}"), F.lit(r["attempt"]).cast("long"))])
         attempt = lambda kind, match: F.coalesce(F.element_at(table, F.concat(kind, F.lit("|"), _canonical(kind, match))), zero)
     else:
         at = F.xxhash64(F.col("text"))

@@ -322,6 +322,27 @@ def test_distinct_entities_stay_distinct(spark, most):
     assert len(made) == len(rows) and not made & {t.split()[1] for _, t in rows}
 
 
+def test_what_draws_leave_is_numbered(spark, monkeypatch):
+    """No draw again at all: what collides at first takes a number, and none takes what is in the corpus."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import pii
+
+    monkeypatch.setattr(pii, "MOST_ATTEMPTS", 0)
+    quads = [f"{i}.{j}.{k}.1" for i in range(1, 10) for j in range(1, 10) for k in range(1, 10)] + [f"100.100.100.{n}" for n in range(100, 110)]
+    df = spark.createDataFrame(list(enumerate(f"at {q}" for q in quads)), "doc_id long, text string")
+    from tessera.llm.common import Work
+
+    again = {r.canonical: r.attempt for r in pii._collisions(Work(spark, "test"), df, pii.KEY).collect()}
+    asked = spark.createDataFrame([(q, again.get(q, 0)) for q in quads], "match string, attempt long")
+    made = [r.made for r in asked.select(pii.surrogate(F.lit("ip"), F.col("match"), F.col("attempt")).alias("made")).collect()]
+    assert again and len(set(made)) == len(quads) and not set(made) & set(quads)
+    kinds = {"email": "A@x.com", "ip": "1:2:3:4:5:6:7:8", "card": "4111 1111 1111 1111", "man": "Иванов", "secret": "ab12ab12", "phone": "+49 151 123456", "iban": "DE89370400440532013000", "ssn": "123-45-6789"}
+    rows = spark.createDataFrame([(k, m, n) for k, m in kinds.items() for n in range(1, 40)], "kind string, match string, attempt long")
+    got = rows.select("kind", pii._canonical(F.col("kind"), pii.surrogate(F.col("kind"), F.col("match"), F.col("attempt"))).alias("made")).distinct()
+    assert {r.kind: r["count"] for r in got.groupBy("kind").count().collect()} == dict.fromkeys(kinds, 39)
+
+
 # -- pages
 
 
