@@ -18,6 +18,8 @@ from tessera.llm.sharding import assign_shards
 
 #: Share of the remaining tokens that the mixture takes.
 MIX_SHARE = 0.9
+#: Near copies: words in a shingle, and the least similarity in percent.
+NEAR = {"shingle": 5, "percent": 80}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near copies."""
-    kept = join(docs).filter(F.expr("doc_id <=> component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = join(docs, **NEAR).filter(F.expr("doc_id <=> component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, F.expr("doc_id <=> kept_id"), "left_semi")
 
 

@@ -1,8 +1,8 @@
 """Jaccard self-join of documents on word shingles, by PartEnum signatures.
 
-Sizes of sets are cut into bands. Two sets with Jaccard similarity of at least 9/10 lie in one band, or the smaller at
-the upper end of the band below; it then signs for both. In a band whose largest size is u, such sets differ in at most
-k = 2u/19 elements. The feature domain is hashed into k // 2 + 1 parts, so in some part they differ in at most one, and
+Sizes of sets are cut into bands. Two sets with Jaccard similarity of at least p percent lie in one band, or the smaller
+at the upper end of the band below; it then signs for both. In a band whose largest size is u, such sets differ in at
+most k = 2u (100 - p) / (100 + p) elements (2u/19 for 90). The feature domain is hashed into k // 2 + 1 parts, so in some part they differ in at most one, and
 each part into three pieces, so two of the three agree: for each part, each of the three pairs of pieces gives a
 signature, and such sets share one.
 
@@ -16,6 +16,7 @@ aren't connected, few as they are, and these are verified too. Then every link j
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,12 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tessera.llm.common import CHUNK_BYTES, Work, hash_words, mix, multipliers, owners, slices, tasks_for, views
 from tessera.llm.components import components
 
-SHINGLE = 3
+#: Words in a shingle, and the least similarity in percent, unless asked otherwise.
+SHINGLE, PERCENT = 3, 90
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-#: Band ratio as a fraction, and the largest size that a band begins with.
+#: Band ratio as a fraction (similar sets lie in one band or in neighbours if it is 100 / PERCENT at least), and the
+#: largest size that a band begins with.
 RATIO, TOP = (5, 4), 1 << 31
 #: Bits of a sketch for each element of a band's largest set.
 SKETCH_BITS = 4
@@ -38,21 +41,40 @@ SKETCH_BITS = 4
 CHUNK = 2048
 
 
-def band_table() -> tuple[np.ndarray, np.ndarray]:
-    """First and last size of each band. Band 0 holds sizes up to 9: similar sets in it are equal."""
-    lo, hi = [1], [9]
-    while hi[-1] < TOP:
-        lo.append(hi[-1] + 1)
-        hi.append(lo[-1] * RATIO[0] // RATIO[1])
-    return np.array(lo), np.array(hi)
+@dataclass(frozen=True)
+class Likeness:
+    """When sets count as similar, and what bands follow from it."""
 
+    percent: int = PERCENT
+    lo: np.ndarray = field(init=False, compare=False)  # first and last size of each band
+    hi: np.ndarray = field(init=False, compare=False)
 
-LO, HI = band_table()
+    def __post_init__(self):
+        if not 100 * RATIO[1] <= self.percent * RATIO[0] or not self.percent < 100:
+            raise ValueError(f"percent is {self.percent}, not from {100 * RATIO[1] // RATIO[0]} to 99")
+        # band 0 holds sizes at which similar sets are equal: up to 9 for 90
+        lo, hi = [1], [(-(-(100 + self.percent) // (100 - self.percent)) - 1) // 2]
+        while hi[-1] < TOP:
+            lo.append(hi[-1] + 1)
+            hi.append(lo[-1] * RATIO[0] // RATIO[1])
+        object.__setattr__(self, "lo", np.array(lo))
+        object.__setattr__(self, "hi", np.array(hi))
 
+    def similar(self, n_a, n_b, distance):
+        """100 |A and B| >= percent |A or B|, by sizes and the size of the symmetric difference."""
+        return (100 + self.percent) * distance <= (100 - self.percent) * (n_a + n_b)
 
-def similar(n_a, n_b, distance):
-    """100 |A and B| >= 90 |A or B|, by sizes and the size of the symmetric difference."""
-    return 19 * distance <= n_a + n_b
+    def most_apart(self, bands):
+        """In how many elements similar sets of a band differ at most."""
+        return 2 * self.hi[bands] * (100 - self.percent) // (100 + self.percent)
+
+    def sketch_words(self, band: int) -> int:
+        return int(-(-SKETCH_BITS * self.hi[band] // 64))
+
+    def possible(self, n_a, n_b, a, b):
+        """Whether sets of these sizes and sketches may be similar."""
+        apart = np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+        return self.similar(n_a, n_b, np.maximum(apart, np.abs(n_a - n_b)))
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -93,20 +115,20 @@ def set_ids(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((total[ends[1:]] - total[ends[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + np.diff(ends).astype(np.uint64)).view(np.int64)
 
 
-def signers(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signers(like: Likeness, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and band of every band that a set signs for."""
-    own = np.searchsorted(HI, sizes)
+    own = np.searchsorted(like.hi, sizes)
     rows = np.arange(len(sizes))
-    up = np.minimum(own + 1, len(LO) - 1)
-    both = (10 * sizes >= 9 * LO[up]) & (sizes > 0)
+    up = np.minimum(own + 1, len(like.lo) - 1)
+    both = (100 * sizes >= like.percent * like.lo[up]) & (sizes > 0)
     signs = (own > 0) & (sizes > 0)
     return np.concatenate([rows[signs], rows[both]]), np.concatenate([own[signs], up[both]])
 
 
-def signatures(sets: np.ndarray, ends: np.ndarray, rows: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(like: Likeness, sets: np.ndarray, ends: np.ndarray, rows: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Signatures, and to which of the given (row, band) each belongs."""
     sizes = np.diff(ends)[rows]
-    parts = (2 * HI[bands] // 19) // 2 + 1
+    parts = like.most_apart(bands) // 2 + 1
     cell0 = np.concatenate([[0], np.cumsum(3 * parts)])
     which = np.repeat(np.arange(len(rows)), sizes)
     e = sets[np.repeat(ends[:-1][rows] - np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes) + np.arange(sizes.sum())]
@@ -122,22 +144,18 @@ def signatures(sets: np.ndarray, ends: np.ndarray, rows: np.ndarray, bands: np.n
     return np.concatenate(out).view(np.int64), np.tile(of, 3)
 
 
-def sketches(sets: np.ndarray, ends: np.ndarray, rows: np.ndarray, bands: np.ndarray) -> list[bytes]:
+def sketches(like: Likeness, sets: np.ndarray, ends: np.ndarray, rows: np.ndarray, bands: np.ndarray) -> list[bytes]:
     """For each (row, band): the parities of the numbers of elements in as many buckets as the band has bits."""
     out = []
     place = mix(sets + np.uint64(0xC3C3))
     for r, b in zip(rows, bands, strict=True):
-        bits = sketch_words(b) * 64
+        bits = like.sketch_words(b) * 64
         at = ((place[ends[r] : ends[r + 1]] >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)
         out.append(np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes())
     return out
 
 
-def sketch_words(band: int) -> int:
-    return int(-(-SKETCH_BITS * HI[band] // 64))
-
-
-def spanning(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
+def spanning(like: Likeness, ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
     """Edges that connect what possible links connect."""
     left = np.ones(len(ids), bool)
     edges: list[tuple[int, int]] = []
@@ -147,7 +165,7 @@ def spanning(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray) -> list[tup
         while queue:
             x = queue.pop()
             rest = np.flatnonzero(left)
-            near = rest[possible(sizes[rest], sizes[x], sketch[rest], sketch[x])]
+            near = rest[like.possible(sizes[rest], sizes[x], sketch[rest], sketch[x])]
             edges += [(int(ids[x]), int(ids[y])) for y in near]
             left[near] = False
             queue.extend(near.tolist())
@@ -156,36 +174,30 @@ def spanning(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray) -> list[tup
     return edges
 
 
-def possible(n_a, n_b, a, b):
-    """Whether sets of these sizes and sketches may be similar."""
-    apart = np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
-    return similar(n_a, n_b, np.maximum(apart, np.abs(n_a - n_b)))
-
-
-def crossing(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+def crossing(like: Likeness, ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
     """All possible links between members of different labels."""
     edges: list[tuple[int, int]] = []
     for x in range(len(ids) - 1):
         rest = np.flatnonzero(label[x + 1 :] != label[x]) + x + 1
         if rest.size:
-            near = rest[possible(sizes[rest], sizes[x], sketch[rest], sketch[x])]
+            near = rest[like.possible(sizes[rest], sizes[x], sketch[rest], sketch[x])]
             edges += [(int(ids[x]), int(ids[y])) for y in near]
     return edges
 
 
-def set_rows(docs: DataFrame) -> DataFrame:
+def set_rows(docs: DataFrame, shingle: int, like: Likeness) -> DataFrame:
     """doc_id, n_shingles, set_id, and bands with their sketches, of every document."""
     kind = docs.schema["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, "text", CHUNK_BYTES):
-                sets, ends = shingle_sets(part.column("text"))
-                rows, bands = signers(np.diff(ends))
+                sets, ends = shingle_sets(part.column("text"), shingle)
+                rows, bands = signers(like, np.diff(ends))
                 order = np.argsort(rows, kind="stable")
                 rows, bands = rows[order], bands[order]
                 offsets = pa.array(np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32))
-                made = pa.StructArray.from_arrays([pa.array(bands.astype(np.int16)), pa.array(sketches(sets, ends, rows, bands), pa.binary())], names=["band", "sketch"])
+                made = pa.StructArray.from_arrays([pa.array(bands.astype(np.int16)), pa.array(sketches(like, sets, ends, rows, bands), pa.binary())], names=["band", "sketch"])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends)), pa.array(set_ids(sets, ends)), pa.ListArray.from_arrays(offsets, made)], names=["doc_id", "n_shingles", "set_id", "sketches"])
 
     schema = StructType([kind, StructField("n_shingles", LongType()), StructField("set_id", LongType())])
@@ -193,25 +205,25 @@ def set_rows(docs: DataFrame) -> DataFrame:
     return text.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", sketches array<struct<band:short,sketch:binary>>")
 
 
-def signature_rows(docs: DataFrame) -> DataFrame:
+def signature_rows(docs: DataFrame, shingle: int, like: Likeness) -> DataFrame:
     """sig, set_id, band of every document's signatures; equal sets that meet in a batch sign once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, "text", CHUNK_BYTES):
-                sets, ends = shingle_sets(part.column("text"))
+                sets, ends = shingle_sets(part.column("text"), shingle)
                 ids = set_ids(sets, ends)
                 once = np.zeros(len(ids), bool)
                 once[np.unique(ids, return_index=True)[1]] = True
-                rows, bands = signers(np.where(once, np.diff(ends), 0))
+                rows, bands = signers(like, np.where(once, np.diff(ends), 0))
                 if rows.size:
-                    sig, of = signatures(sets, ends, rows, bands)
+                    sig, of = signatures(like, sets, ends, rows, bands)
                     yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ids[rows][of]), pa.array(bands[of].astype(np.int16))], names=["sig", "set_id", "band"])
 
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "sig long, set_id long, band short")
 
 
-def candidate_edges(groups: DataFrame, parts: int, every: bool) -> DataFrame:
+def candidate_edges(groups: DataFrame, parts: int, every: bool, like: Likeness) -> DataFrame:
     """a, b from rows (sig, c1, c2, set_id, n, sketch, label), grouped by (sig, c1, c2): a spanning forest of each group,
     or every possible link between labels."""
 
@@ -232,11 +244,11 @@ def candidate_edges(groups: DataFrame, parts: int, every: bool) -> DataFrame:
         for w in np.unique(length):
             i = two[length == w]
             a, c = (flat[at[j][:, None] + np.arange(w)].view(np.uint64) for j in (i, i + 1))
-            ok = i[possible(n[i], n[i + 1], a, c)]
+            ok = i[like.possible(n[i], n[i + 1], a, c)]
             edges += zip(ids[ok].tolist(), ids[ok + 1].tolist(), strict=True)
         for i, j in zip(first[:-1][sizes > 2], first[1:][sizes > 2], strict=True):
             sk = np.frombuffer(words[at[i] : at[j]], np.uint64).reshape(j - i, -1)
-            edges += crossing(ids[i:j], n[i:j], sk, label[i:j]) if every else spanning(ids[i:j], n[i:j], sk)
+            edges += crossing(like, ids[i:j], n[i:j], sk, label[i:j]) if every else spanning(like, ids[i:j], n[i:j], sk)
         if not edges:
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
         e = np.unique(np.sort(np.array(edges, np.int64), axis=1), axis=0)
@@ -268,7 +280,7 @@ def candidate_edges(groups: DataFrame, parts: int, every: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def verify(edges: DataFrame, sets: DataFrame) -> DataFrame:
+def verify(edges: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """edges with `linked`, from both whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +289,7 @@ def verify(edges: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(b.column("x"), b.column("y"), strict=True):
                 s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = len(np.intersect1d(s, t, assume_unique=True))
-                flags.append(bool(similar(len(s), len(t), len(s) + len(t) - 2 * common)))
+                flags.append(bool(like.similar(len(s), len(t), len(s) + len(t) - 2 * common)))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(flags, pa.bool_())], names=["a", "b", "linked"])
 
     x = sets.select(F.col("set_id").alias("a"), F.col("elements").alias("x"))
@@ -285,13 +297,13 @@ def verify(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return edges.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """set_id, elements (8 bytes each, in order) of one document for each wanted set (doc_id, text_hash, set_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, "text", CHUNK_BYTES):
-                sets, ends = shingle_sets(part.column("text"))
+                sets, ends = shingle_sets(part.column("text"), shingle)
                 raw = sets.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(sets, ends)), pa.array([raw[8 * i : 8 * j] for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["set_id", "elements"])
 
@@ -299,20 +311,21 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "set_id long, elements binary").dropDuplicates(["set_id"])
 
 
-def join(docs: DataFrame, chunk: int = CHUNK, keep: list[str] | None = None) -> DataFrame:
+def join(docs: DataFrame, chunk: int = CHUNK, keep: list[str] | None = None, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document, and the columns `keep`.
 
-    Documents link if their sets of distinct 3-word shingles (words as in the module `common`, A-Z lower-cased; fewer
-    words are one shingle) have a Jaccard similarity of at least 0.9. component_id is the smallest doc_id that links
+    Documents link if their sets of distinct shingles of `shingle` words (words as in the module `common`, A-Z
+    lower-cased; fewer words are one shingle) have a Jaccard similarity of at least `percent` (80 to 99) percent. component_id is the smallest doc_id that links
     reach. Null texts and texts without words have an empty set and link with nothing. Rows that repeat an id count each
     by their own text. A null id is larger than every number as a component_id. An empty table gives no rows. Sets and
     shingles are told apart by 64-bit fingerprints.
     """
     spark = docs.sparkSession
+    like = Likeness(percent)
     work = Work(spark, "ngrams")
     parts = tasks_for(spark)
-    rows = work.write(set_rows(docs), "sets")
-    signs = signature_rows(docs)
+    rows = work.write(set_rows(docs, shingle, like), "sets")
+    signs = signature_rows(docs, shingle, like)
     shared = signs.groupBy("sig").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).filter("x <> y").select("sig")
     members = work.write(signs.join(shared, "sig").distinct(), "members")
     work.release()
@@ -330,13 +343,13 @@ def join(docs: DataFrame, chunk: int = CHUNK, keep: list[str] | None = None) ->
             members = members.join(large, "sig", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
             members = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("sig", "band", "set_id", F.least(mine, "o").alias("c1"), F.greatest(mine, "o").alias("c2"))
         chosen = rows.groupBy("set_id").agg(F.min("doc_id").alias("of_doc")).join(members.select("set_id").distinct(), "set_id", "left_semi")
-        sets = work.write(whole_sets(docs, chosen.select("of_doc").distinct()), "elements")
+        sets = work.write(whole_sets(docs, chosen.select("of_doc").distinct(), shingle), "elements")
         work.release()
         def verified(groups: DataFrame, name: str, every: bool) -> DataFrame:
-            edges = candidate_edges(groups.join(sketched, ["set_id", "band"]), parts, every)
+            edges = candidate_edges(groups.join(sketched, ["set_id", "band"]), parts, every, like)
             if every:
                 edges = edges.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-            return work.write(verify(work.write(edges, f"edges_{name}"), sets), f"checked_{name}")
+            return work.write(verify(work.write(edges, f"edges_{name}"), sets, like), f"checked_{name}")
 
         checked = verified(members.withColumn("label", F.col("set_id")), "forest", False)
         roots = components(work, checked.filter("linked").select("a", "b"), "stars_forest_")

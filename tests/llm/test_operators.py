@@ -221,6 +221,25 @@ def test_large_group_of_near_copies(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in join(df, chunk=64).collect()) == brute.jaccard_components(rows)
 
 
+def test_stage_joins_on_five_words(spark):
+    """Two spread edits in 100 words: 86/106 on five words, 92/104 on three."""
+    import corpus_pipeline
+
+    words = [f"u{i}" for i in range(100)]
+    edited = [f"new{i}" if i in (30, 70) else w for i, w in enumerate(words)]
+    rows = [*near_copies(40), (100, " ".join(words)), (101, " ".join(edited)), (102, "one two"), (103, "One TWO"), (104, "a b c d e f"), (105, "a b c d e f g")]
+    sets = {d: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for d, w in ((d, t.lower().split()) for d, t in rows)}
+    root = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    got = corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    kept = {r.doc_id for r in got.collect()}
+    assert kept == set(root.values()) and 100 in kept and 101 not in kept
+
+
 def test_join_of_odd_tables(odd, empty):
     from tessera.llm.ngram_join import join
 
