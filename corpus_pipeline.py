@@ -66,5 +66,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = work.write(stage(spark, docs, sf_dir), f"stage{i}")
-        work.release()
     return docs

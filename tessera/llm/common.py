@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -22,37 +22,54 @@ CHUNK_BYTES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Spark removes a written plan's shuffle files itself where this is on.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is set (tests), one on this machine."""
+    """The folder that driver and executors share; where none is set and Spark is local (tests), one on this machine."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         got = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(got)
     return got.rstrip("/")
 
 
 class Work:
-    """Tables that one operator run writes to the shared folder, so that a lost executor costs no recomputation."""
+    """Tables that one operator run writes to the shared folder, so that a lost executor costs no recomputation.
+
+    A written table no longer needs the shuffle files of its plan, so Spark is told to remove them with the write. A
+    result may read these tables as long as the session lives; the run's folder is deleted when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        self.hadoop = spark._jsc.hadoopConfiguration()
         self.path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+        atexit.register(self._delete, self.path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
+        finally:
+            self.spark.conf.set(CLEANUP, before) if before is not None else self.spark.conf.unset(CLEANUP)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
-    def drop(self, name: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(conf).delete(path, True)
-
-    def release(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of plans that are no longer referenced."""
-        for _ in range(2):  # what the first pass finalizes, the second frees
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.2)
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            self._delete(f"{self.path}/{name}")
+
+    def _delete(self, path: str) -> None:
+        try:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.hadoop).delete(at, True)
+        except (Py4JError, OSError):  # the driver's JVM has gone before its folder
+            pass
 
 
 def tasks_for(spark: SparkSession) -> int:

@@ -13,8 +13,8 @@ def components(work: Work, edges: DataFrame, name: str = "stars") -> DataFrame:
 
     edges has columns a and b (numbers). Each round links every node's larger neighbours to its smallest one, then its
     smaller neighbours to the smallest of them; this keeps components and ends in stars after about log n rounds. Only
-    minima are gathered by node; edges of a node with many are split by Spark as skewed join partitions. Every round is
-    a written table.
+    minima are gathered by node, and written before they are joined, so that Spark can split the edges of a node with
+    many. Every round is a written table.
     """
     def summary(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").bitwiseAND(0xFFFFFFFF))).first())
@@ -23,9 +23,10 @@ def components(work: Work, edges: DataFrame, name: str = "stars") -> DataFrame:
     i, before = 0, summary(stars)
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = work.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}_large")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = work.write(large, f"{name}_linked")
+        low = work.write(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}_small")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         after = work.write(small.select("e.*").filter("u <> v").distinct(), f"{name}{i + 1}")
         work.drop(f"{name}{i}")

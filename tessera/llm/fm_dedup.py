@@ -58,18 +58,22 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of sequences of symbols 1..sigma-1, each ended by a separator 0 of its own (ordered by place)."""
+    """Index of sequences of symbols 1..sigma-1, each ended by a separator 0 (separators in order of place).
+
+    Suffixes are sorted by their first `depth` symbols, ties by place: strings of up to `depth` symbols have the same
+    intervals as in the whole order. After building, the text and its suffix array are gone; what stays are the wavelet
+    matrix over the Burrows-Wheeler transform, the counts of smaller symbols, the sequence that each suffix belongs to,
+    and the intervals' parents.
+    """
 
     def __init__(self, text: np.ndarray, sigma: int, depth: int):
-        """text: the sequences with their separators; depth: the length whose equal strings are told apart as groups."""
-        n = len(text)
-        self.text, self.n = text, n
-        self.ends = np.concatenate([[0], np.flatnonzero(text == 0) + 1])
-        left = np.repeat(self.ends[1:], np.diff(self.ends)) - np.arange(n) - 1  # symbols before the separator
-        rank, done, most = text.astype(np.int64), 1, int(left.max(initial=0))
-        group = None
-        while done < max(most, depth):
-            step = min(done, depth - done) if done < depth else done
+        n = self.n = len(text)
+        self.depth = depth
+        ends = np.concatenate([[0], np.flatnonzero(text == 0) + 1])
+        left = np.repeat(ends[1:], np.diff(ends)) - np.arange(n) - 1  # symbols before the separator
+        rank, done = text.astype(np.int64), 1
+        while done < min(depth, int(left.max(initial=0)) + 1):
+            step = min(done, depth - done)
             after = np.zeros(n, np.int64)
             inside = left[: n - step] >= step if step < n else np.zeros(0, bool)
             after[: max(0, n - step)][inside] = rank[step:][inside] + 1
@@ -79,14 +83,14 @@ class FMIndex:
             rank = np.empty(n, np.int64)
             rank[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
             done += step
-            if done == depth:
-                group = rank
-        self.sa = np.argsort(rank * np.int64(n) + np.arange(n))
-        self.group = (group if group is not None else rank)[self.sa]
-        bwt = text[self.sa - 1]  # the first symbol follows the last separator
-        self.wavelet = WaveletMatrix(bwt, sigma)
+        sa = np.argsort(rank * np.int64(n) + np.arange(n))
+        self.sequence = (np.searchsorted(ends, sa, side="right") - 1).astype(np.int32)
+        self.wavelet = WaveletMatrix(text[sa - 1], sigma)  # the first symbol follows the last separator
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])[:-1]
-        self._lcp: tuple[np.ndarray, ...] | None = None
+        lcp = np.full(n + 1, -1, np.int64)
+        lcp[1:n] = np.minimum(common_prefix(text, ends, sa[:-1], sa[1:], depth), np.minimum(left[sa[:-1]], left[sa[1:]]))
+        before, after = smaller_neighbours(lcp, strict=True)
+        self.lcp, self.before, self.after = lcp.astype(np.int32), np.maximum(before, 0).astype(np.int32), np.where(after < 0, n, after).astype(np.int32)
 
     def extend(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of suffixes that begin with c followed by the intervals' strings."""
@@ -95,28 +99,22 @@ class FMIndex:
 
     def parents(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The longest proper prefix of each interval's string that more suffixes share: its interval and length."""
-        if self._lcp is None:
-            lcp = np.full(self.n + 1, -1, np.int64)
-            lcp[1 : self.n] = common_prefix(self.text, self.ends, self.sa[:-1], self.sa[1:], self.n)
-            sep = self.text[self.sa] == 0
-            lcp[1 : self.n] = np.where(sep[1:] | sep[:-1], 0, np.minimum(lcp[1 : self.n], np.repeat(self.ends[1:], np.diff(self.ends))[self.sa[1:]] - self.sa[1:] - 1))
-            before, after = smaller_neighbours(lcp, strict=True)
-            self._lcp = lcp, np.maximum(before, 0), np.where(after < 0, self.n, after)
-        lcp, before, after = self._lcp
-        depth = np.maximum(lcp[lo], lcp[hi])
-        new_lo = np.where((lcp[lo] == depth) & (lo > 0), before[lo], lo)
-        new_hi = np.where((lcp[hi] == depth) & (hi < self.n), after[hi], hi)
+        depth = np.maximum(self.lcp[lo], self.lcp[hi])
+        new_lo = np.where((self.lcp[lo] == depth) & (lo > 0), self.before[lo], lo)
+        new_hi = np.where((self.lcp[hi] == depth) & (hi < self.n), self.after[hi], hi)
         whole = depth <= 0
         return np.where(whole, 0, new_lo), np.where(whole, self.n, new_hi), np.maximum(depth, 0)
 
-    def matching_statistics(self, streams: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each place of the streams: length of the longest string from there, within its stream, that the index
-        holds, and the first suffix of its interval. Symbols that the index lacks are negative.
+    def matching_statistics(self, streams: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each place of the streams: length, up to `depth`, of the longest string from there, within its stream,
+        that the index holds, and the interval of the suffixes that begin with it. Symbols that the index lacks are
+        negative.
 
-        All streams are read backward at once. A symbol that can't be put before the current match shortens it to the
-        parent interval until it can, or nothing is left.
+        All streams are read backward at once. A match of full length loses its last symbol before it is extended; a
+        symbol that can't be put before the current match shortens it to the parent interval until it can, or nothing
+        is left.
         """
-        length, where = np.zeros(len(streams), np.int64), np.zeros(len(streams), np.int64)
+        length, first, last = (np.zeros(len(streams), np.int64) for _ in range(3))
         k = len(ends) - 1
         lo, hi, size = np.zeros(k, np.int64), np.full(k, self.n, np.int64), np.zeros(k, np.int64)
         lane = np.argsort(-np.diff(ends), kind="stable")
@@ -128,6 +126,12 @@ class FMIndex:
             todo = live[c >= 0]
             lost = live[c < 0]
             lo[lost], hi[lost], size[lost] = 0, self.n, 0
+            full = todo[size[todo] == self.depth]
+            if full.size:
+                size[full] -= 1
+                a, b, up = self.parents(lo[full], hi[full])
+                wider = up == self.depth - 1
+                lo[full[wider]], hi[full[wider]] = a[wider], b[wider]
             while todo.size:
                 a, b = self.extend(streams[ends[todo + 1] - t], lo[todo], hi[todo])
                 ok = a < b
@@ -138,23 +142,33 @@ class FMIndex:
                 todo = todo[size[todo] > 0]
                 if todo.size:
                     lo[todo], hi[todo], size[todo] = self.parents(lo[todo], hi[todo])
-            length[at], where[at] = size[live], lo[live]
-        return length, where
+            length[at], first[at], last[at] = size[live], lo[live], hi[live]
+        return length, first, last
+
+
+def least_in(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The smallest value in each interval [lo, hi); the intervals are equal or apart."""
+    if not len(lo):
+        return np.zeros(0, values.dtype)
+    begins, which = np.unique(lo, return_inverse=True)
+    stops = np.zeros(len(begins), np.int64)
+    stops[which] = hi
+    edges = np.stack([begins, stops], axis=1).ravel()
+    return np.minimum.reduceat(np.append(values, values[:1]), edges)[::2][which]
 
 
 def resolver(window: int):
-    def resolve(units: np.ndarray, ends: np.ndarray, anchor: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-        ids = units + 1
+    def resolve(units: np.ndarray, ends: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The bucket's blocks are indexed, and streamed against the index; an interval of a whole window tells which
+        documents hold it."""
         k = len(doc)
-        text = np.zeros(len(ids) + k, np.int64)
-        place = np.arange(len(ids)) + np.repeat(np.arange(k), np.diff(ends))
-        text[place] = ids
-        index = FMIndex(text, int(ids.max()) + 1, window)
-        owner = np.repeat(np.arange(k), np.diff(ends) + 1)
-        first_doc = np.full(int(index.group.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first_doc, index.group, doc[owner][index.sa])
-        length, where = index.matching_statistics(ids, ends)
-        return (length >= window) & (first_doc[index.group[where]] < np.repeat(doc, np.diff(ends)))
+        text = np.zeros(len(units) + k, np.int64)
+        text[np.arange(len(units)) + np.repeat(np.arange(k), np.diff(ends))] = units + 1
+        index = FMIndex(text, int(units.max()) + 2, window)
+        length, lo, hi = index.matching_statistics(units + 1, ends)
+        flags = length >= window
+        flags[flags] = least_in(doc[index.sequence], lo[flags], hi[flags]) < np.repeat(doc, np.diff(ends))[flags]
+        return flags
 
     return resolve
 
@@ -171,7 +185,7 @@ def drop_passages(docs: DataFrame, keep: list[str] | None = None, window: int =
     work = Work(docs.sparkSession, "passages")
     spans = repeated_spans(work, docs.select("doc_id", "text"), kind, False, resolver(window), most_blocks, bucket_units)
     keep = [c for c in keep or [] if c not in ("doc_id", "text")]
-    rows = keyed(docs, F.col("doc_id"), *keep).join(spans, ["doc", "rid"], "left")
+    rows = keyed(docs, F.col("doc_id"), *keep).join(spans, ["doc", "base"], "left")
     own = docs.select("doc_id", *keep).schema.fields
     out = [own[0], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType()), *own[1:], *([StructField("kept", StringType())] if with_text else [])]
 

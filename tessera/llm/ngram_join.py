@@ -328,7 +328,6 @@ def join(docs: DataFrame, chunk: int = CHUNK, keep: list[str] | None = None, shi
     signs = signature_rows(docs, shingle, like)
     shared = signs.groupBy("sig").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).filter("x <> y").select("sig")
     members = work.write(signs.join(shared, "sig").distinct(), "members")
-    work.release()
     roots = None
     if not members.isEmpty():
         ids = members.select("set_id", "band").distinct()
@@ -344,7 +343,6 @@ def join(docs: DataFrame, chunk: int = CHUNK, keep: list[str] | None = None, shi
             members = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("sig", "band", "set_id", F.least(mine, "o").alias("c1"), F.greatest(mine, "o").alias("c2"))
         chosen = rows.groupBy("set_id").agg(F.min("doc_id").alias("of_doc")).join(members.select("set_id").distinct(), "set_id", "left_semi")
         sets = work.write(whole_sets(docs, chosen.select("of_doc").distinct(), shingle), "elements")
-        work.release()
         def verified(groups: DataFrame, name: str, every: bool) -> DataFrame:
             edges = candidate_edges(groups.join(sketched, ["set_id", "band"]), parts, every, like)
             if every:
@@ -353,7 +351,6 @@ def join(docs: DataFrame, chunk: int = CHUNK, keep: list[str] | None = None, shi
 
         checked = verified(members.withColumn("label", F.col("set_id")), "forest", False)
         roots = components(work, checked.filter("linked").select("a", "b"), "stars_forest_")
-        work.release()
         label = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
         apart = checked.filter("not linked").join(label("a"), "a", "left").join(label("b"), "b", "left")
         apart = work.write(apart.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "apart")
@@ -365,8 +362,9 @@ def join(docs: DataFrame, chunk: int = CHUNK, keep: list[str] | None = None, shi
             if not more.filter("linked").isEmpty():
                 links = checked.unionByName(more).filter("linked").select("a", "b")
                 roots = components(work, links, "stars_all_")
-            work.release()
+        work.drop("members", "sketches", "elements")
     result = rows.drop("sketches")
     result = result.withColumn("root", F.col("set_id")) if roots is None else result.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    first = result.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # written before it is joined, so that Spark can split a root with many documents
+    first = work.write(result.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     return result.join(first, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))

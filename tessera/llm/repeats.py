@@ -2,31 +2,33 @@
 
 Units are words or bytes. A window's anchor is its smallest hash of K consecutive units (winnowing), so equal windows
 have equal anchors. Runs of windows with one anchor form blocks: the text from the run's first window to the end of its
-last. Blocks whose anchor occurs once in the corpus, and once in the block, hold no repeat. Of the rest, equal blocks with equal anchors are
-brought down to their first copy, and the distinct blocks of one anchor are compared by an index built in the task that
-holds them (the caller's `resolve`): a suffix array or an FM-index. Later copies of a block are repeats as a whole.
+last. Blocks whose anchor occurs once in the corpus, and once in the block, hold no repeat. Of the rest, equal blocks
+with equal anchors are brought down to their first copy, and the distinct blocks of one anchor are compared by an index
+built in the task that holds them (the caller's `resolve`): a suffix order or an FM-index. Later copies of a block are
+repeats as a whole. Blocks count as equal if two 64-bit hashes (anchor and block) agree.
 
 Anchors are counted, and blocks brought down, by aggregates that combine before they shuffle; what is joined back are
-plain equi-joins whose hot keys Spark splits. Anchors with more distinct blocks than a task should hold are settled
-window by window instead, by the same kind of aggregate and join.
+plain equi-joins of written tables, whose hot keys Spark splits. An anchor with more distinct blocks than a task should
+hold is split by longer anchors: its blocks are cut into runs again, with a larger K, and go through the same steps. With
+K = W an anchor is a whole window, so its distinct blocks are few however hot it is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import CHUNK_BYTES, Work, hash_words, mix, multipliers, slices, tasks_for, views, word_places, words_of
 
 #: Longest run of windows in a block, where the window allows it (`Kind.longest_run`).
 LONGEST_RUN = 96
-#: Anchors with more distinct blocks than this are settled window by window.
-MOST_BLOCKS = 20_000
+#: Anchors with more distinct blocks than this are split by longer anchors.
+MOST_BLOCKS = 1000
 #: Units that a task indexes at a time.
 BUCKET_UNITS = 1 << 19
 
@@ -37,6 +39,10 @@ class Kind:
     window: int
     anchor: int  # K, units in an anchor
 
+    def longer(self) -> Kind:
+        """The kind with the next longer anchors: two and a half times as long, up to the window."""
+        return replace(self, anchor=min(self.window, self.anchor * 5 // 2))
+
     @property
     def longest_run(self) -> int:
         """Such that the hashes of a block's first and last window cover the block."""
@@ -125,36 +131,31 @@ def runs(kind: Kind, part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
 
 
 def keyed(docs: DataFrame, *more) -> DataFrame:
-    """doc and rid tell documents apart: the id (null: the smallest) and some bits of the text's hash."""
+    """doc, base and text. doc and base tell rows apart: the id (null: the smallest) and some bits of the text's hash."""
     text = F.col("text").cast("binary")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int").alias("rid"), text.alias("text"), *more)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").bitwiseAND(0x7FFFFFFF).alias("base"), text.alias("text"), *more)
+
 
+def all_runs(rows: DataFrame, kind: Kind) -> DataFrame:
+    """Every run of every row (doc, base, text): anchor, block, doc, base, at, n, twice.
 
-def all_runs(docs: DataFrame, kind: Kind) -> DataFrame:
-    """Every run of every document: anchor, block, doc, at (start and rid in one number), n, twice."""
+    base and at are places in a document: the unit in the upper 32 bits, and below them what tells documents apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, "text", CHUNK_BYTES // 16):
                 row, start, n, anchor, block, twice = runs(kind, part)
-                doc, rid = part.column("doc").to_numpy(), part.column("rid").to_numpy().astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64)), pa.array(doc[row]), pa.array((start << 32) | rid[row]), pa.array(n.astype(np.int16)), pa.array(twice)], names=["anchor", "block", "doc", "at", "n", "twice"])
-
-    return keyed(docs).mapInArrow(run, "anchor long, block long, doc long, at long, n short, twice boolean")
-
-
-def start_of() -> Column:
-    return F.shiftright("at", 32).cast("int")
-
+                doc, base = part.column("doc").to_numpy()[row], part.column("base").to_numpy()[row]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64)), pa.array(doc), pa.array(base), pa.array((start << 32) + base), pa.array(n.astype(np.int16)), pa.array(twice)], names=["anchor", "block", "doc", "base", "at", "n", "twice"])
 
-def rid_of() -> Column:
-    return F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("rid")
+    return rows.mapInArrow(run, "anchor long, block long, doc long, base long, at long, n short, twice boolean")
 
 
-def block_texts(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
+def block_texts(rows: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
     """anchor, block, doc, at, n, units of the wanted runs; units are their bytes, for words with the white space between."""
-    per = wanted.groupBy("doc", rid_of()).agg(F.collect_list(F.struct("anchor", "block", "at", "n")).alias("w"))  # runs of one document
-    joined = keyed(docs).join(per, ["doc", "rid"])
+    per = wanted.groupBy("doc", "base").agg(F.collect_list(F.struct("anchor", "block", "at", "n")).alias("w"))  # runs of one row
+    joined = rows.join(per, ["doc", "base"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,8 +168,7 @@ def block_texts(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
                 counts = np.diff(w.offsets.to_numpy().astype(np.int64))
                 flat = w.flatten()
                 at, n = flat.field("at").to_numpy(), flat.field("n").to_numpy().astype(np.int64)
-                base = np.repeat(ends[:-1], counts)
-                lo = base + (at >> 32)
+                lo = np.repeat(ends[:-1], counts) + ((at - np.repeat(part.column("base").to_numpy(), counts)) >> 32)
                 hi = lo + n + kind.window - 1
                 if kind.words:
                     lo, hi = starts[lo], stops[hi - 1]
@@ -177,7 +177,8 @@ def block_texts(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
     return joined.mapInArrow(run, "anchor long, block long, doc long, at long, n short, units binary")
 
 
-Resolve = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: units, their ends by block, and each block's document and place, to one flag for each unit
+Resolve = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def resolved(texts: DataFrame, kind: Kind, resolve: Resolve, bucket_units: int) -> DataFrame:
@@ -187,10 +188,13 @@ def resolved(texts: DataFrame, kind: Kind, resolve: Resolve, bucket_units: int)
     """
 
     def close(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(rows).combine_chunks()
+        t = pa.Table.from_batches(rows)
+        pair = np.stack([t.column(c).to_numpy() for c in ("anchor", "block")], axis=1)
+        once = np.unique(pair, axis=0, return_index=True)[1]  # rows that repeat in the table bring their blocks again
+        t = (t.take(np.sort(once)) if len(once) < len(pair) else t).combine_chunks()
         units, ends = words_of(t.column("units").chunk(0))[1:] if kind.words else views(t.column("units").chunk(0))
-        anchor, doc, start = (t.column(c).to_numpy() for c in ("anchor", "doc", "at"))
-        flagged = resolve(units, ends, anchor, doc, start)  # one flag for each unit
+        doc, start = (t.column(c).to_numpy() for c in ("doc", "at"))
+        flagged = resolve(units, ends, doc, start)
         lists = []
         for i in range(len(doc)):
             f = flagged[ends[i] : ends[i + 1] - kind.window + 1].astype(np.int8)
@@ -228,61 +232,48 @@ def resolved(texts: DataFrame, kind: Kind, resolve: Resolve, bucket_units: int)
     return dealt.mapInArrow(run, "anchor long, block long, first_doc long, first_at long, hits array<int>")
 
 
-def window_rows(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
-    """One row for each window of the wanted runs: key (two hashes of its units), doc, at."""
-    texts = block_texts(docs, wanted, kind)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                keys, docs_, ats = [], [], []
-                for units, doc, at in zip(part.column("units"), part.column("doc").to_pylist(), part.column("at").to_pylist(), strict=True):
-                    raw = units.as_py()
-                    got = raw.split() if kind.words else raw
-                    for s in range(len(got) - kind.window + 1):
-                        one = got[s : s + kind.window]
-                        keys.append(xxhash.xxh3_128_digest(b" ".join(one) if kind.words else one))
-                        docs_.append(doc)
-                        ats.append(at + (s << 32))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs_, pa.int64()), pa.array(ats, pa.int64())], names=["key", "doc", "at"])
-
-    return texts.mapInArrow(run, "key binary, doc long, at long")
-
-
 def repeated_spans(work: Work, docs: DataFrame, kind: Kind, same_doc: bool, resolve: Resolve, most_blocks: int = MOST_BLOCKS, bucket_units: int = BUCKET_UNITS) -> DataFrame:
-    """doc, rid, spans: windows that also start earlier, as (from, to) of starts, for every document that has some.
+    """doc, base, spans: windows that also start earlier, as (s, e) of starts, for every document that has some.
 
     Earlier means in a smaller (doc, start) if same_doc, else in a smaller doc.
     """
-    found = all_runs(docs, kind)
-    shared = found.groupBy("anchor").agg(F.count("*").alias("c"), F.max("twice").alias("t")).filter("c > 1 or t").select("anchor")
-    found = work.write(found.drop("twice").join(shared, "anchor"), "shared")
-    work.release()
-    firsts = found.groupBy("anchor", "block").agg(F.min(F.struct("doc", "at", "n")).alias("f")).select("anchor", "block", "f.*")
-    firsts = work.write(firsts, "firsts")
-    work.release()
-    hot = firsts.groupBy("anchor").agg(F.count("*").alias("c")).filter(F.col("c") > most_blocks).select("anchor")
-    hot = work.write(hot, "hot")
-    any_hot = not hot.isEmpty()
-    cold = firsts.join(hot, "anchor", "left_anti") if any_hot else firsts
-    answers = work.write(resolved(block_texts(docs, cold, kind), kind, resolve, bucket_units), "answers")
-    work.release()
+    return _spans(work, keyed(docs), kind, same_doc, resolve, most_blocks, bucket_units, 0)
+
+
+def _spans(work: Work, rows: DataFrame, kind: Kind, same_doc: bool, resolve: Resolve, most_blocks: int, bucket_units: int, level: int) -> DataFrame:
+    """doc, base, spans (starts from the row's first unit) of rows (doc, base, text), by anchors of one length."""
+    every = work.write(all_runs(rows, kind), f"runs{level}")
+    shared = every.groupBy("anchor").agg(F.count("*").alias("c"), F.max("twice").alias("t")).filter("c > 1 or t").select("anchor")
+    found = work.write(every.drop("twice").join(work.write(shared, f"anchors{level}"), "anchor"), f"found{level}")
+    work.drop(f"runs{level}")
+    firsts = found.groupBy("anchor", "block").agg(F.min(F.struct("doc", "at", "base", "n")).alias("f")).select("anchor", "block", "f.*")
+    firsts = work.write(firsts, f"firsts{level}")
+    cold = firsts
+    split = kind.anchor < kind.window
+    if split:
+        hot = firsts.groupBy("anchor").agg(F.count("*").alias("c")).filter(F.col("c") > most_blocks).select("anchor")
+        hot = work.write(hot, f"hot{level}")
+        split = not hot.isEmpty()
+    if split:
+        cold = firsts.join(hot, "anchor", "left_anti")
+    answers = work.write(resolved(block_texts(rows, cold, kind), kind, resolve, bucket_units), f"answers{level}")
+    if split:
+        blocks = block_texts(rows, firsts.join(hot, "anchor", "left_semi"), kind)
+        blocks = blocks.dropDuplicates(["anchor", "block"]).select("anchor", "block", "doc", F.col("at").alias("base"), F.col("units").alias("text"))
+        blocks = work.write(blocks, f"blocks{level}")
+        inner = _spans(work, blocks.select("doc", "base", "text"), kind.longer(), same_doc, resolve, most_blocks, bucket_units, level + 1)
+        hits = F.coalesce(F.flatten(F.transform("spans", lambda x: F.array(x["s"], x["e"]))), F.array().cast("array<int>"))
+        inner = blocks.drop("text").join(inner, ["doc", "base"], "left").select("anchor", "block", F.col("doc").alias("first_doc"), F.col("base").alias("first_at"), hits.alias("hits"))
+        answers = answers.unionByName(work.write(inner, f"split{level}"))
 
     both = found.join(answers, ["anchor", "block"])
     later = F.struct("doc", "at") > F.struct(F.col("first_doc").alias("doc"), F.col("first_at").alias("at")) if same_doc else F.col("doc") > F.col("first_doc")
-    pairs = F.transform(F.sequence(F.lit(0), F.size("hits") - 2, F.lit(2)), lambda i: F.struct((start_of() + F.get("hits", i)).alias("s"), (start_of() + F.get("hits", i + 1)).alias("e")))
-    whole = F.array(F.struct(start_of().alias("s"), (start_of() + F.col("n")).cast("int").alias("e")))
+    start = F.shiftright(F.col("at") - F.col("base"), 32).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.size("hits") - 2, F.lit(2)), lambda i: F.struct((start + F.get("hits", i)).alias("s"), (start + F.get("hits", i + 1)).alias("e")))
+    whole = F.array(F.struct(start.alias("s"), (start + F.col("n")).cast("int").alias("e")))
     spans = F.when(later, whole).when(F.size("hits") > 0, pairs)
-    rows = both.select("doc", rid_of(), F.explode_outer(spans).alias("x")).filter("x is not null")
-    if any_hot:
-        windows = work.write(window_rows(docs, found.join(hot, "anchor", "left_semi"), kind), "windows")
-        first = windows.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("f"), F.count("*").alias("c")).filter("c > 1").select("key", "f")
-        again = windows.join(first, "key").filter(F.struct("doc", "at") > F.col("f") if same_doc else F.col("doc") > F.col("f.doc"))
-        rows = rows.unionByName(again.select("doc", rid_of(), F.struct(start_of().alias("s"), (start_of() + 1).alias("e")).alias("x")))
-    return rows.groupBy("doc", "rid").agg(F.collect_list("x").alias("spans"))  # spans of one document
+    each = both.select("doc", "base", F.explode_outer(spans).alias("x")).filter("x is not null")
+    return each.groupBy("doc", "base").agg(F.collect_list("x").alias("spans"))  # spans of one row
 
 
 def covered(spans: pa.Array, row_units: np.ndarray, window: int) -> Iterator[np.ndarray]:

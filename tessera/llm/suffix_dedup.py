@@ -15,40 +15,8 @@ from tessera.llm.common import CHUNK_BYTES, Work, slices, views
 from tessera.llm.repeats import BUCKET_UNITS, MOST_BLOCKS, Kind, covered, keyed, repeated_spans
 
 WINDOW, ANCHOR = 100, 24
-
-
-def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the text in the order of what follows within their row, to `depth` units (ties by place), and each
-    place's rank among the distinct such strings.
-
-    Prefix doubling on ranks: by 8 bytes, then 16, and so on; a row's end sorts before every unit.
-    """
-    n = len(text)
-    left = np.repeat(ends[1:], np.diff(ends)) - np.arange(n)  # units to the row's end
-
-    def ranks(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key)
-        s = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-        return rank
-
-    # 7 units and the number of units there (up to 7) fit 64 bits exactly
-    key = np.zeros(n, np.uint64)
-    for i in range(7):
-        key <<= np.uint64(8)
-        key[: n - i] |= np.where(left[: n - i] > i, text[i:], 0).astype(np.uint64)
-    key = (key << np.uint64(3)) | np.minimum(left, 7).astype(np.uint64)
-    rank = ranks(key)
-    done = 7
-    while done < depth:
-        step = min(done, depth - done)
-        after = np.zeros(n, np.int64)
-        inside = left[: n - step] > step if step < n else np.zeros(0, bool)
-        after[: n - step][inside] = rank[step:][inside] + 1
-        rank = ranks(rank * np.int64(n + 1) + after)
-        done += step
-    return np.argsort(rank * np.int64(n) + np.arange(n)), rank
+#: Strings that are compared at a time.
+FACTORS_AT_ONCE = 1 << 16
 
 
 def smaller_neighbours(place: np.ndarray, strict: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -84,59 +52,47 @@ def common_prefix(text: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarr
     return out
 
 
-def previous_factors(text: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """LPF, up to `depth`: for each place, the longest string there that also starts at an earlier place, and such a
-    place (-1: none). The candidates are the previous and the next smaller place in suffix order, as no other earlier
-    suffix shares more. Rows must come in the order that makes a place earlier."""
-    order, _ = suffix_array(text, ends, depth)
-    before, after = smaller_neighbours(order)
-    lpf, source = np.zeros(len(text), np.int64), np.full(len(text), -1, np.int64)
-    for link in (before, after):
+def previous_factors(text: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Longest previous factors: places with `depth` units before their row's end; for each, the length (up to depth) of
+    the longest string there that also starts at an earlier one of these places; and such an earlier place (-1: none).
+
+    The places are put in suffix order, which matters to that depth only (ties by place). The previous and the next
+    smaller place in that order are the candidates: no other earlier place shares more. Rows must come in the order that
+    makes a place earlier.
+    """
+    place = np.flatnonzero(np.repeat(ends[1:], np.diff(ends)) - np.arange(len(text)) >= depth)
+    lpf, source = np.zeros(len(place), np.int64), np.full(len(place), -1, np.int64)
+    if not len(place):
+        return place, lpf, source
+    # all strings are of one length, so that padding plays no part in comparing them
+    strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, depth)[place])
+    order = np.argsort(strings.view(f"S{depth}").ravel(), kind="stable")
+    for link in smaller_neighbours(order):
         has = np.flatnonzero(link >= 0)
-        at, prev = order[has], order[link[has]]
-        length = common_prefix(text, ends, at, prev, depth)
-        better = length > lpf[at]
-        lpf[at[better]], source[at[better]] = length[better], prev[better]
-    return lpf, source
+        for part in np.array_split(has, len(has) // FACTORS_AT_ONCE + 1):
+            at, prev = order[part], order[link[part]]
+            differ = strings[at] != strings[prev]
+            length = np.where(differ.any(1), differ.argmax(1), depth)
+            better = length > lpf[at]
+            lpf[at[better]], source[at[better]] = length[better], place[prev[better]]
+    return place, lpf, source
 
 
 def resolver(window: int):
-    def resolve(units: np.ndarray, ends: np.ndarray, anchor: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def resolve(units: np.ndarray, ends: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Blocks are laid out by (doc, start), so that earlier places are earlier in the corpus."""
         order = np.lexsort((at, doc))
         lengths = np.diff(ends)[order]
         new_ends = np.concatenate([[0], np.cumsum(lengths)])
         move = np.repeat(ends[:-1][order] - new_ends[:-1], lengths) + np.arange(new_ends[-1])
-        text = units[move]
-        flags = np.empty(len(units), bool)
-        flags[move] = long_factors(text, new_ends, window)
+        place, lpf, _ = previous_factors(units[move], new_ends, window)
+        flags = np.zeros(len(units), bool)
+        flags[move[place]] = lpf >= window
         return flags
 
     return resolve
 
 
-def long_factors(text: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
-    """Whether LPF reaches `window`, without measuring shorter factors.
-
-    Only places with `window` units before their row's end can have such factors, so only they are put in suffix order,
-    to that depth; equal strings stand side by side by place. If some earlier place has a place's string, the previous
-    smaller one in suffix order has it too.
-    """
-    stop = np.repeat(ends[1:], np.diff(ends))
-    place = np.flatnonzero(stop - np.arange(len(text)) >= window)
-    flags = np.zeros(len(text), bool)
-    if not place.size:
-        return flags
-    # all strings are of one length, so that padding plays no part in comparing them
-    strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, window)[place]).view(f"S{window}").ravel()
-    order = np.argsort(strings, kind="stable")
-    before, _ = smaller_neighbours(order)
-    has = np.flatnonzero(before >= 0)
-    at, prev = order[has], order[before[has]]
-    flags[place[at]] = strings[at] == strings[prev]
-    return flags
-
-
 def drop_repeats(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW, anchor: int = ANCHOR, most_blocks: int = MOST_BLOCKS, bucket_units: int = BUCKET_UNITS, with_text: bool = False) -> DataFrame:
     """Every document without the bytes covered by a `window`-byte string that also starts earlier.
 
@@ -150,7 +106,7 @@ def drop_repeats(docs: DataFrame, keep: list[str] | None = None, window: int = W
     work = Work(docs.sparkSession, "suffixes")
     spans = repeated_spans(work, docs.select("doc_id", "text"), kind, True, resolver(window), most_blocks, bucket_units)
     keep = [c for c in keep or [] if c not in ("doc_id", "text")]
-    rows = keyed(docs, F.col("doc_id"), *keep).join(spans, ["doc", "rid"], "left")
+    rows = keyed(docs, F.col("doc_id"), *keep).join(spans, ["doc", "base"], "left")
     fields = docs.select("doc_id", *keep).schema.fields
     out = [*fields[:1], *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), StructField("kept_sha256", StringType()), *fields[1:], *([StructField("kept", BinaryType())] if with_text else [])]
 
