@@ -7,6 +7,7 @@ import hashlib
 import re
 
 import numpy as np
+import regex
 
 
 def words(text):
@@ -87,7 +88,7 @@ def jaccard_components(rows):
 
 
 def plain_words(text):
-    return [w for w in re.split(r"[^\w]|_", (text or "").lower()) if w]
+    return regex.findall(r"[\p{L}\p{M}\p{N}]+", (text or "").lower())
 
 
 def contained(rows, items, percent=80):

@@ -304,13 +304,31 @@ def test_containment(spark, tiny, docs, rows):
     assert sorted(r.doc_id for r in clean(docs, items).collect()) == sorted({d for d, _ in rows} - {d for d, *_ in want})
 
 
-def test_containment_of_odd_tables(odd, empty):
+def test_containment_of_odd_tables(spark, odd, empty):
+    from pyspark.sql import functions as F
+
     from tessera.llm.decontaminate import clean, contaminated
 
     bench = odd.selectExpr("doc_id as item_id", "text")
     assert clean(odd, bench.limit(0)).count() == odd.count() and clean(odd, bench.limit(0)).columns == odd.columns
-    assert contaminated(empty, bench).count() == 0
-    assert (13, 10) in {(r.doc_id, r.item_id) for r in contaminated(repeated(odd), bench).collect()}
+    names = ("_text", "_h", "_key", "_items", "doc", "items", "k1", "k2", "hits", "found", "own", "uid", "s", "h", "a.b")
+    clashing = odd.select("doc_id", "text", *[F.lit(1).alias(c) for c in names])
+    for most in (None, {"index": 0, "shingles": 0}):
+        assert contaminated(empty, bench, most=most).count() == 0
+        got = contaminated(repeated(odd), bench.unionByName(bench.limit(12).withColumn("item_id", F.lit(None).cast("long"))), most=most).collect()
+        pairs = [(r.doc_id, r.item_id) for r in got]
+        assert (13, 10) in pairs and (None, 10) in pairs and (13, None) in pairs and pairs.count((12, 12)) == 2
+        left = clean(clashing, bench.filter("item_id = 10"), most=most)
+        assert left.columns == clashing.columns and {r.doc_id for r in left.collect()} == {r.doc_id for r in odd.collect()} - {10, 11, 12, 13}
+
+
+def test_benchmark_of_many_sizes(spark):
+    from tessera.llm.decontaminate import contaminated
+
+    items = [(n, " ".join(f"w{n}x{j}" for j in range(n))) for n in range(1, 1500, 3)]
+    docs = [(n, f"before it {t} and after") for n, t in items if n % 50 == 1] + [(5000, " ".join(f"w100x{j}" for j in range(0, 100, 2)))]
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(n, n) for n, _ in docs if n < 5000]
 
 
 # -- surrogates
