@@ -123,3 +123,38 @@ def water(budget, children):
         left -= step * total
         open_ = {k for k in open_ if children[k][0] - got[k] > 1e-9}
     return {k: int(v + 1e-6) for k, v in got.items()}
+
+
+def entities(text, alternatives, initials, particles):
+    """(begin, end, kind, units) of every entity of a text, tried place by place; units are (kind, word) of a name."""
+    after_one = [(kind, regex.compile(p.replace(r"(?:(?<![\p{L}\p{N}])|\G)", ""))) for kind, p in alternatives]
+    else_where = [(kind, regex.compile(p.replace(r"|\G)", ")"))) for kind, p in alternatives]
+    found, at, last = [], 0, 0
+    while at < len(text):
+        for kind, p in after_one if at == last else else_where:
+            m = p.match(text, at)
+            if m:
+                found.append((at, m.end(), kind))
+                last = at = m.end()
+                break
+        else:
+            at += 1
+    out, names = [], {}
+    for b, e, kind in found:
+        if kind not in ("woman", "man"):
+            out.append((b, e, {"hex": "secret", "ipv6": "ip"}.get(kind, kind), [({"ipv6": "ip"}.get(kind, kind), text[b:e])]))
+            continue
+        units, parts = [], regex.split(r"[ \u00a0]", text[b:e])
+        for i, part in enumerate(x for x in parts):
+            for w in part.split("-"):
+                k = "initials" if regex.fullmatch(initials, w) else "particle" if regex.fullmatch(particles, w) else "family" if i == len(parts) - 1 else f"given {kind}"
+                units.append((k, w))
+                if k[0] in "fg":
+                    names.setdefault(w, k)
+        out.append((b, e, kind, units))
+    if names:
+        word = regex.compile(r"(?<![\p{L}\p{M}\p{N}\'’])(?:" + "|".join(sorted(names, reverse=True)) + r")(?![\p{L}\p{M}\p{N}])")
+        edges = [0, *[x for b, e, *_ in out for x in (b, e)], len(text)]
+        for b, e in zip(edges[::2], edges[1::2], strict=True):
+            out += [(b + m.start(), b + m.end(), "name", [(names[m[0]], m[0])]) for m in word.finditer(text[b:e])]
+    return sorted(out)

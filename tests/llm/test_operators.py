@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 
 from tests.llm import brute
 
@@ -351,10 +352,98 @@ def test_surrogates(spark, odd, empty):
     assert cards[0].replace(" ", "") == cards[1].split(";")[0]
     digits = [int(c) for c in cards[1].split(";")[0]][::-1]
     assert sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
-    assert got[2].kinds[2:] == ["woman", "man", "woman"]
+    assert got[2].kinds[2:] == ["woman", "man", "woman"] and got[2].n_entities == 5
     assert replace(empty, ["doc_id"]).count() == 0 and replace(repeated(odd), ["doc_id", "lang", "text"]).count() == repeated(odd).count()
 
 
+def replaced(spark, texts, **options):
+    from tessera.llm.pii import replace
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r for r in sorted(replace(df, ["doc_id"], **options).collect(), key=lambda r: r.doc_id)]
+
+
+def test_names(spark):
+    texts = [
+        "then Mr McDonald and Herr Müller-Lüdenscheidt and Mrs O'Brien's house", "Mr Smith met Mrs Smith", "here Mr Smith", "Mr John Smith came. Mr Smith left. John Smith slept, Smith-like, Smithson.", "Mrs ANNA J. SMITH and Smith",
+        "г-жа Анна Иванова и г-н Иванов", "Herr von der Leyen, Señora María-José García", "Mr\u00a0Brown and Mr\nGreen and Mr  White",
+    ]
+    got = [r.text for r in replaced(spark, texts)]
+    for clear in ("McDonald", "Donald", "Müller", "Lüdenscheidt", "Brien", "Smith ", "John", "ANNA", "SMITH", "Анна", "Иванов", "Leyen", "María", "José", "García", "Brown", "Green", "White"):
+        assert not any(clear in t for t in got), clear
+    smith = got[2].split()[2]
+    assert got[1] == f"Mr {smith} met Mrs {smith}" and got[0].split("'")[-1] == "s house" and got[0].split()[8].startswith("O'")
+    john = got[3].split()[1]
+    assert got[3] == f"Mr {john} {smith} came. Mr {smith} left. {john} {smith} slept, {smith}-like, Smithson."
+    assert got[4].split()[3] == smith.upper() and got[4].split()[1].isupper() and got[4].split()[1].endswith("NA") and got[4].split()[2][1] == "."
+    anna, ivanova, ivanov = got[5].split()[1], got[5].split()[2], got[5].split()[5]
+    assert ivanova == ivanov + "а" and anna.endswith("на") and got[6].startswith("Herr von der ")
+
+
+def test_types_and_forms(spark):
+    got = replaced(spark, ["+49 30 1234567 or +49301234567 or +49-30-1234567", "password=Sunshine", "token: 123-45-6789", "DE89 3704 0044 0532 0130 00", "password=Sunshine and password=sunshine", "GR bob.ωμέγα@x.org"])
+    phones = got[0].text.split(" or ")
+    assert len({p.replace(" ", "").replace("-", "") for p in phones}) == 1 and phones[0].startswith("+49 ") and phones[2][3] == "-" and "1234567" not in got[0].text
+    assert list(got[1].kinds) == list(got[2].kinds) == ["secret"] and "Sunshine" not in got[1].text
+    iban = got[3].text
+    turned = "".join(str(int(c, 36)) for c in iban.replace(" ", "")[4:] + iban[:4])
+    assert iban[:2] == "DE" and iban[4] == " " and len(iban) == 27 and int(turned) % 97 == 1
+    a, b = got[4].text.split(" and ")
+    assert a != b.replace("s", "S", 1) and a == got[1].text
+    assert got[5].text.split("@")[0][7:].encode() != b"" and all("α" <= c <= "ω" for c in got[5].text.split("@")[0].split(".")[1])
+
+
+def test_long_texts_take_time_by_their_length(spark):
+    import time
+
+    began = time.time()
+    got = replaced(spark, ["secret=" + "aB3" * 350_000, "x" * 1_000_000, "Mr Smith " * 20_000, "1 2 3 " * 100_000, "a.b " * 100_000 + "@"])
+    assert time.time() - began < 60 and len(got[0].text) == 1_050_007 and got[2].n_entities == 20_000
+
+
+def test_marks_in_texts(spark):
+    from tessera.llm.pii import ESCAPE, GROUP, INSTEAD, MARK
+
+    signs = "".join([MARK, GROUP, ESCAPE, *INSTEAD.values(), MARK, ESCAPE + INSTEAD[MARK]])
+    got = replaced(spark, [f"{signs}bob@x.com{signs} Mr Smith {signs}Smith{signs}", signs])
+    assert got[1].text == signs and got[0].text.count(signs) == 4 and got[0].n_entities == 3 and "Smith" not in got[0].text
+
+
+def test_surrogates_against_plain_search(spark, rows):
+    """Entities are those that a search place by place finds; surrogates are a one-to-one function of the entity."""
+    from tessera.llm import pii
+
+    r = random.Random(4)
+    parts = [
+        "Mr John Smith", "Mrs Smith", "Smith", "John", "Herr von Berg", "Frau Dr Berg", "bob@x.com", "BOB@X.COM", "x bob@y.org", "10.0.0.1", "10.0.0.10", "123-45-6789", "4111 1111 1111 1111", "4111111111111111", "+1 555 123 4567",
+        "+15551234567", "(555) 123-4567", "password: hunter2hunter2", "token=123-45-6789", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "2001:db8:1:2:3:4:5:6", "c9c8b45435718dcc700c184a7e303cdc", "and then", "12", "Mr", "Mrs ", "Miss O'Neil-Smith", "г-н Петров", "\n", "=",
+    ]
+    texts = [t or "" for _, t in rows] + [r.choice(["", " ", ", "]).join(r.choices(parts, k=12)) for _ in range(300)]
+    used, whole = {}, collections.defaultdict(set)
+    for text, got in zip(texts, replaced(spark, texts), strict=True):
+        want = brute.entities(text, pii.ALTERNATIVES, pii.INITIALS, pii.PARTICLES)
+        assert [k for *_, k, _ in want] == list(got.kinds) and got.n_entities == len(want)
+        shape, at = [], 0
+        for b, e, _, units in want:
+            shape.append(regex.escape(text[at:b]) + "(.+?)")
+            at = e
+        m = regex.fullmatch("".join(shape) + regex.escape(text[at:]), got.text, regex.S)
+        assert m, (text, got.text)
+        for (b, e, kind, units), new in zip(want, m.groups(), strict=True):
+            assert new != text[b:e] or kind == "name"
+            if len(units) == 1 and units[0][0] not in ("given man", "given woman", "family"):
+                key = (units[0][0], units[0][1] if units[0][0] == "secret" else regex.sub(r"[ \-()]", "", units[0][1].lower()))
+                plain = new if kind == "secret" else regex.sub(r"[ \-()]", "", new.lower())
+                assert used.setdefault(key, plain) == plain
+                whole[key[0]].add(key[1])
+            elif kind != "name" and len(units) == 1:
+                assert used.setdefault(("family", units[0][1].lower()), new.lower()) == new.lower()
+    by_kind = collections.defaultdict(list)
+    for (kind, _), new in used.items():
+        by_kind[kind].append(new)
+    assert all(len(v) == len(set(v)) and not set(v) & whole[k] for k, v in by_kind.items())
+
+
 def test_entities_after_signs(spark):
     """An entity may follow a sign that could be part of one, a letter of another script, or another entity."""
     from tessera.llm.pii import replace
@@ -395,7 +484,7 @@ def test_what_draws_leave_is_numbered(spark, monkeypatch):
     asked = spark.createDataFrame([(q, again.get(q, 0)) for q in quads], "match string, attempt long")
     made = [r.made for r in asked.select(pii.surrogate(F.lit("ip"), F.col("match"), F.col("attempt")).alias("made")).collect()]
     assert again and len(set(made)) == len(quads) and not set(made) & set(quads)
-    kinds = {"email": "A@x.com", "ip": "1:2:3:4:5:6:7:8", "card": "4111 1111 1111 1111", "man": "Иванов", "secret": "ab12ab12", "phone": "+49 151 123456", "iban": "DE89370400440532013000", "ssn": "123-45-6789"}
+    kinds = {"email": "A@x.com", "ip": "1:2:3:4:5:6:7:8", "card": "4111 1111 1111 1111", "given man": "Иван", "given woman": "Anna", "family": "Иванов", "hex": "ab" * 16, "secret": "ab12ab12", "phone": "+49 151 123456", "iban": "DE89370400440532013000", "ssn": "123-45-6789"}
     rows = spark.createDataFrame([(k, m, n) for k, m in kinds.items() for n in range(1, 40)], "kind string, match string, attempt long")
     got = rows.select("kind", pii._canonical(F.col("kind"), pii.surrogate(F.col("kind"), F.col("match"), F.col("attempt"))).alias("made")).distinct()
     assert {r.kind: r["count"] for r in got.groupBy("kind").count().collect()} == dict.fromkeys(kinds, 39)
