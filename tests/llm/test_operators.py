@@ -505,7 +505,7 @@ def test_extraction(spark):
     other = '<html><body><div class="teaser"><p>A long teaser text that is longer than the article itself, which is short, for once.</p></div><main><div class="content-9"><p>Short one.</p></div></main></body></html>'
     pages = [(1, "http://A.example/x", PAGE % 1), (2, "https://a.example:80/y", PAGE % 22), (3, "https://u@a.example/z", other), (4, None, PAGE % 3), (5, "nonsense", None), (6, "http://b.example", ""), (7, "http://b.example", "plain text"), (8, "http://b.example", "<p>" + "x" * 200_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    for most in (100_000, 0):
+    for most in (1 << 20, 0):
         got = {r.page_id: r.text for r in main_text(df, most).collect()}
         want = "Title & more\n\nFirst para graph with bold words.\n\nSecond <para> here.\n\none\n\ntwo"
         assert got[1] == got[2] == got[4] == want
@@ -514,6 +514,104 @@ def test_extraction(spark):
     assert all(r.n_chars == len(r.text) for r in main_text(df.unionByName(df)).collect())
 
 
+LONG = "A sentence of the article that is long enough to count as text, with commas, and a full stop."
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<body><div class="site has-sidebar"><p>{LONG}</p></div><div class="sidebar"><p>Side, side.</p></div>', [LONG]),
+    (f'<body><article class="no-sidebar"><h1>T</h1><p>{LONG}</p></article>', ["T", LONG]),
+    (f'<body><form id="aspnetForm"><div id="c"><h1>T</h1><p>{LONG}</p></div><div class="footer"><p>Foot</p></div></form>', ["T", LONG]),
+    (f'<body><main id="search-journal"><p>{LONG}</p></main><form><p>Search here, please</p></form>', [LONG]),
+    (f'<body><article><p>{LONG}</p><div class="related-work"><p>Others did so, too.</p></div><div class="related-posts"><p>More</p></div></article>', [LONG, "Others did so, too."]),
+    (f'<body><article><section class="lead"><p>{LONG}</p></section><section class="body"><p>Second part.</p><p>Third.</p></section></article>', [LONG, "Second part.", "Third."]),
+    (f'<body><article><header><h1>T</h1></header><div class="text"><p>{LONG}</p></div></article>', ["T", LONG]),
+    (f"<body><div class=post><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></div>", [LONG + " x=1"]),
+    (f'<body><article><p title="5" tall">{LONG}</p><p class=\'a"b\'>Next > one</p></article>', [LONG, "Next > one"]),
+    (f'<body><article><p>{LONG}</p></article><div class="comments"><article class="comment"><p>{LONG} {LONG} {LONG}</p></article></div>', [LONG]),
+    (f'<body><div class="post"><div class="part"><p>{LONG}</p></div><div class="part"><p>{LONG}</p></div></div><div class="teaser"><p>Tease.</p></div>', [LONG, LONG]),
+    ("<body>" + "<div>" * 3000 + f"<p>{LONG}</p>", [LONG]),
+    (f"<body><article><p>{LONG}</p><button>Share</button><p>a &lt; b<br>c</p></article>", [LONG, "a < b c"]),
+])
+def test_marks_weigh_and_do_not_decide(page, want):
+    from tessera.llm.html_text import extract
+
+    assert extract(page, None).split("\n\n") == want
+
+
+def test_generated_pages(spark):
+    """Pages put together from an article and what surrounds it: the article alone comes out, as it was put in."""
+    from tessera.llm.html_text import main_text
+
+    r = random.Random(8)
+    boiler = ['<nav><ul><li><a href="/a">One</a><li><a href="/b">Two</a></ul></nav>', "<script>var x = '<p>no</p>';</script>", '<div class="cookie-box"><p>We use cookies, and say so.</p></div>', '<aside><p>Read this, too, it is long, and nice.</p></aside>', '<div id="sidebarRight"><p>A side, with text.</p></div>', '<div class="ad">Buy, buy.</div>']
+    body = [("<p>{}</p>", 1), ("<p>{}", 1), ("<h2>{}</h2>", 1), ("<ul><li>{}</li><li>{}</li></ul>", 2), ("<blockquote><p>{}</p></blockquote>", 1), ("<section><p>{}</p><p>{}</p></section>", 2), ("<pre>{}</pre>", 1), ("<table><tr><td>{}<td>{}</table>", 2)]
+    pages, want = [], []
+    for i in range(120):
+        lines, inside = [], []
+        for shape, k in [r.choice(body) for _ in range(r.randint(3, 9))] + [body[0]] * 3:
+            got = [f"{base_text(1000 * i + len(lines) + j, r.randint(8, 40))}, that." for j in range(k)]
+            lines += got
+            inside.append(shape.format(*[x.replace(" ", r.choice([" ", "  ", "\n", " <b></b>"]), 1) for x in got]))
+            if r.random() < 0.2:
+                inside.append(r.choice(boiler))
+        tag = ["article", "main", 'div class="story"'][i % 3]
+        around = [r.choice(boiler) for _ in range(4)]
+        pages.append((i, f"http://h{i % 3}.example/{i}", "<html><head><title>T</title></head><body>" + "".join(around[:2]) + f"<{tag}>" + "".join(inside) + f"</{tag.split()[0]}>" + "".join(around[2:]) + "<footer><p>Foot, foot, foot.</p></footer></body></html>"))
+        want.append((i, "\n\n".join(lines)))
+    got = main_text(spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 as kept", "2 as host", "3 as winning", "4 as text"), keep=["kept", "host", "winning", "text"])
+    assert got.columns == ["page_id", "url", "text", "n_chars", "kept", "host", "winning"]
+    assert sorted((x.page_id, x.text) for x in got.collect()) == want
+
+
+LONG = "A sentence of the article that is long enough to count as text, with commas, and a full stop."
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<body><div class="site has-sidebar"><p>{LONG}</p></div><div class="sidebar"><p>Side, side.</p></div>', [LONG]),
+    (f'<body><article class="no-sidebar"><h1>T</h1><p>{LONG}</p></article>', ["T", LONG]),
+    (f'<body><form id="aspnetForm"><div id="c"><h1>T</h1><p>{LONG}</p></div><div class="footer"><p>Foot</p></div></form>', ["T", LONG]),
+    (f'<body><main id="search-journal"><p>{LONG}</p></main><form><p>Search here, please</p></form>', [LONG]),
+    (f'<body><article><p>{LONG}</p><div class="related-work"><p>Others did so, too.</p></div><div class="related-posts"><p>More</p></div></article>', [LONG, "Others did so, too."]),
+    (f'<body><article><section class="lead"><p>{LONG}</p></section><section class="body"><p>Second part.</p><p>Third.</p></section></article>', [LONG, "Second part.", "Third."]),
+    (f'<body><article><header><h1>T</h1></header><div class="text"><p>{LONG}</p></div></article>', ["T", LONG]),
+    (f"<body><div class=post><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></div>", [LONG + " x=1"]),
+    (f'<body><article><p title="5" tall">{LONG}</p><p class=\'a"b\'>Next > one</p></article>', [LONG, "Next > one"]),
+    (f'<body><article><p>{LONG}</p></article><div class="comments"><article class="comment"><p>{LONG} {LONG} {LONG}</p></article></div>', [LONG]),
+    (f'<body><div class="post"><div class="part"><p>{LONG}</p></div><div class="part"><p>{LONG}</p></div></div><div class="teaser"><p>Tease.</p></div>', [LONG, LONG]),
+    ("<body>" + "<div>" * 3000 + f"<p>{LONG}</p>", [LONG]),
+    (f"<body><article><p>{LONG}</p><button>Share</button><p>a &lt; b<br>c</p></article>", [LONG, "a < b c"]),
+])
+def test_marks_weigh_and_do_not_decide(page, want):
+    from tessera.llm.html_text import extract
+
+    assert extract(page, None).split("\n\n") == want
+
+
+def test_generated_pages(spark):
+    """Pages put together from an article and what surrounds it: the article alone comes out, as it was put in."""
+    from tessera.llm.html_text import main_text
+
+    r = random.Random(8)
+    boiler = ['<nav><ul><li><a href="/a">One</a><li><a href="/b">Two</a></ul></nav>', "<script>var x = '<p>no</p>';</script>", '<div class="cookie-box"><p>We use cookies, and say so.</p></div>', '<aside><p>Read this, too, it is long, and nice.</p></aside>', '<div id="sidebarRight"><p>A side, with text.</p></div>', '<div class="ad">Buy, buy.</div>']
+    body = [("<p>{}</p>", 1), ("<p>{}", 1), ("<h2>{}</h2>", 1), ("<ul><li>{}</li><li>{}</li></ul>", 2), ("<blockquote><p>{}</p></blockquote>", 1), ("<section><p>{}</p><p>{}</p></section>", 2), ("<pre>{}</pre>", 1), ("<table><tr><td>{}<td>{}</table>", 2)]
+    pages, want = [], []
+    for i in range(120):
+        lines, inside = [], []
+        for shape, k in [r.choice(body) for _ in range(r.randint(3, 9))] + [body[0]] * 3:
+            got = [f"{base_text(1000 * i + len(lines) + j, r.randint(8, 40))}, that." for j in range(k)]
+            lines += got
+            inside.append(shape.format(*[x.replace(" ", r.choice([" ", "  ", "\n", " <b></b>"]), 1) for x in got]))
+            if r.random() < 0.2:
+                inside.append(r.choice(boiler))
+        tag = ["article", "main", 'div class="story"'][i % 3]
+        around = [r.choice(boiler) for _ in range(4)]
+        pages.append((i, f"http://h{i % 3}.example/{i}", "<html><head><title>T</title></head><body>" + "".join(around[:2]) + f"<{tag}>" + "".join(inside) + f"</{tag.split()[0]}>" + "".join(around[2:]) + "<footer><p>Foot, foot, foot.</p></footer></body></html>"))
+        want.append((i, "\n\n".join(lines)))
+    got = main_text(spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 as kept", "2 as host", "3 as winning", "4 as text"), keep=["kept", "host", "winning", "text"])
+    assert got.columns == ["page_id", "url", "text", "n_chars", "kept", "host", "winning"]
+    assert sorted((x.page_id, x.text) for x in got.collect()) == want
+
+
 # -- mixture
 
 
