@@ -73,19 +73,19 @@ def count_words(batch: pa.RecordBatch, text: str) -> list[np.ndarray]:
     return [np.diff(ends), points - blanks, symbols, dup, repeat, lines, upper, letters]
 
 
-def with_counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep` and COUNTS, of whole texts. A null text has no words. A kept column of the name of a count is replaced."""
-    keep = [c for c in keep if c not in COUNTS]
-    fields = [f for f in docs.select(*keep).schema.fields]
-    schema = StructType([*fields, *(StructField(c, LongType()) for c in COUNTS)])
+def with_counts(docs: DataFrame, keep: list[Column], text: str = "text") -> DataFrame:
+    """The columns `keep` and COUNTS, of whole texts. A null text has no words. No kept column may be named like a count."""
+    rows = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
+    fields = rows.schema.fields[:-1]
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, "_text"):
                 got = count_words(part, "_text")
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x.astype(np.int64)) for x in got)], names=[*keep, *COUNTS])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(x.astype(np.int64)) for x in got)], names=[*names, *COUNTS])
 
-    return docs.select(*keep, F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([*fields, *(StructField(c, LongType()) for c in COUNTS)]))
 
 
 def base_failed() -> Column:
@@ -106,21 +106,23 @@ def certified(k: int, n: int, limit: float, delta: float) -> bool:
     return n > 0 and binomial_cdf(k, n, limit) <= delta
 
 
-def fit_cutoffs(counts: DataFrame, labels: DataFrame, stratum: str = "lang", max_false_rejection: float = 0.05, delta: float = 0.05) -> dict[str | None, dict[str, float]]:
+def fit_cutoffs(counts: DataFrame, labels: DataFrame, max_false_rejection: float = 0.05, delta: float = 0.05) -> dict[str | None, dict[str, float]]:
     """For each stratum, the strictest certified cutoff of each rule; rules without one are left out.
 
-    Good labelled documents that pass the base rules are the holdout. A cutoff is certified if, among them, the exact
-    binomial upper bound of the share that it rejects is at most max_false_rejection / rules, so that all rules
-    together stay within max_false_rejection. The bounds hold for all strata, rules and cutoffs at once with
-    probability 1 - delta (Bonferroni). A document with several labels is good if all of them say so; null labels don't
-    count. Strata too small to certify any cutoff are not fetched.
+    Good labelled documents that pass the base rules are the holdout. Equal texts of a stratum count as one document, as
+    the bound is for independent ones; with several labels it is good if all of them say so. Null labels don't count. A
+    cutoff is certified if, among them, the exact binomial upper bound of the share that it rejects is at most
+    max_false_rejection / rules, so that all rules together stay within max_false_rejection. The bounds hold for all
+    strata, rules and cutoffs at once with probability 1 - delta (Bonferroni). Strata too small to certify any cutoff
+    are not fetched.
     """
-    good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1")
-    held = counts.filter(~base_failed()).join(good, "doc_id").groupBy(F.col(stratum).alias("stratum"))
+    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    texts = counts.filter(~base_failed()).join(known, "doc_id").groupBy("stratum", "text_hash").agg(F.min("quality").alias("quality"), *[F.max(c).alias(c) for c in COUNTS])
     sums = [F.sum((F.expr(score) > cut).cast("long")).alias(f"{rule}_{i}") for rule, (score, cuts) in RULES.items() for i, cut in enumerate(cuts)]
-    table = held.agg(F.count("*").alias("n"), *sums).persist()
+    table = texts.filter("quality = 1").groupBy("stratum").agg(F.count("*").alias("n"), *sums).persist()
     strata = table.count()
     if not strata:
+        table.unpersist()
         return {}
     limit, level = max_false_rejection / len(RULES), delta / (strata * len(sums))
     least = int(np.ceil(np.log(level) / np.log1p(-limit)))
@@ -135,30 +137,31 @@ def fit_cutoffs(counts: DataFrame, labels: DataFrame, stratum: str = "lang", max
     return out
 
 
-def verdict(cutoffs: dict[str | None, dict[str, float]], stratum: str = "lang") -> Column:
-    """True for rows that pass all rules of their stratum; rows of a stratum without cutoffs pass."""
+def with_verdict(counts: DataFrame, cutoffs: dict[str | None, dict[str, float]]) -> DataFrame:
+    """counts with `passes`: whether a row passes all rules of its stratum; rows of a stratum without cutoffs pass."""
+    if not cutoffs:
+        return counts.withColumn("passes", F.lit(True))
+    kind = counts.schema["stratum"].dataType.simpleString()
+    table = counts.sparkSession.createDataFrame([(name, *(cuts.get(rule) for rule in RULES)) for name, cuts in cutoffs.items()], f"of {kind}, " + ", ".join(f"cut_{rule} double" for rule in RULES))
     bad = F.lit(False)
     for rule, (score, _) in RULES.items():
-        limit = F.lit(None).cast("double")
-        for name, cuts in cutoffs.items():
-            if rule in cuts:
-                limit = F.when(F.col(stratum).eqNullSafe(F.lit(name)), F.lit(cuts[rule])).otherwise(limit)
-        bad = bad | F.coalesce(F.expr(score) > limit, F.lit(False))
-    return ~bad
+        bad = bad | F.coalesce(F.expr(score) > F.col(f"cut_{rule}"), F.lit(False))
+    return counts.join(table, F.col("stratum").eqNullSafe(F.col("of")), "left").withColumn("passes", ~bad)
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", keep: list[str] | None = None, **options) -> DataFrame:
     """Counts, base verdict and final verdict of every document.
 
-    Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, then the stratum's
-    rules' other counts and those in `keep`. Null and empty texts have no words and fail. An empty table gives no rows;
-    with no labels only the base rules hold. Rows with the same id are judged each by its own text.
+    Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, then the rules'
+    other counts (capitals and letters are those of ASCII) and those in `keep`, but for names of results. Null and empty
+    texts have no words and fail. An empty table gives no rows; with no labels only the base rules hold. Rows with the
+    same id are judged each by its own text. Texts may be of any length, and columns have any names.
     """
     work = Work(docs.sparkSession, "quality")
-    counts = work.write(with_counts(docs, ["doc_id", stratum]), "counts")
-    cutoffs = fit_cutoffs(counts, labels, stratum, **options)
-    if keep:
-        counts = with_counts(docs, list(dict.fromkeys(["doc_id", stratum, *keep])))
+    keep = [c for c in keep or [] if c not in ("doc_id", *COUNTS, "base_failed", "kept")]
+    own = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep])
+    counts = with_counts(docs, [F.col("doc_id"), F.col(f"`{stratum}`").alias("stratum"), F.xxhash64("text").alias("text_hash"), own.alias("own")])
+    counts = work.write(counts, "counts")
+    counts = with_verdict(counts, fit_cutoffs(counts, labels, **options))
     failed = base_failed()
-    more = [c for c in keep or [] if c != "doc_id"]
-    return counts.select("doc_id", *COUNTS[:5], failed.alias("base_failed"), (~failed & verdict(cutoffs, stratum)).alias("kept"), *COUNTS[5:], *more)
+    return counts.select("doc_id", *COUNTS[:5], failed.alias("base_failed"), (~failed & F.col("passes")).alias("kept"), *COUNTS[5:], *[F.col("own").getField(c).alias(c) for c in keep])
