@@ -17,10 +17,9 @@ def source_domain(source: str = "source") -> Column:
 
 
 def _weight(column: str, table: dict[str, float]) -> Column:
-    out = F.lit(1.0)
-    for name, w in table.items():
-        out = F.when(F.col(column) == name, F.lit(float(w))).otherwise(out)
-    return out
+    if not table:
+        return F.lit(1.0)
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for name, w in table.items() for x in (name, float(w))]), F.col(column).cast("string")), F.lit(1.0))
 
 
 def budgets(leaves: DataFrame, target: float, weights: dict[str, dict[str, float]], max_epochs: int) -> DataFrame:
@@ -70,7 +69,8 @@ def mix(
     running total stays within the budget. A null domain, lang or source is a value of its own. Texts without words
     cost nothing and come as often as the stream reaches them; a leaf without tokens gives nothing. Rows with the same
     id are separate documents, in an order by their text's hash; full duplicates are interchangeable. An empty table
-    gives no rows. Columns: doc_id, domain, lang, source, n_tokens, leaf_tokens, leaf_budget, copies, and those in `keep`.
+    gives no rows. Texts may be of any length. Columns: doc_id, domain, lang, source, n_tokens, leaf_tokens, leaf_budget,
+    copies; with `keep`, those columns (of any names, but a column `copies` is replaced) and copies.
 
     Leaf totals are a small table that is joined by shuffling unless Spark finds it small; prefix sums come from global
     range partitions, so a leaf with a third of all rows is split.
@@ -97,6 +97,8 @@ def mix(
     if not keep:
         return out.drop("text_hash")
     # equal rows get one count, so that the join below doesn't multiply them
+    keep = [c for c in keep if c != "copies"]
     counts = out.groupBy("doc_id", "text_hash", "lang", "source").agg(F.max("copies").alias("copies"))
     same = [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in ("doc_id", "text_hash", "lang", "source")]
-    return docs.withColumn("text_hash", F.xxhash64("text")).alias("d").join(counts.alias("c"), same).select(*[F.col(f"d.{k}") for k in keep], "c.copies")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "lang", "source", F.struct(F.lit(0).alias("_"), *[F.col(f"`{k}`") for k in keep]).alias("own"))
+    return rows.alias("d").join(counts.alias("c"), same).select(*[F.col("d.own").getField(k).alias(k) for k in keep], "c.copies")
