@@ -9,13 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tessera.llm.common import slices, views
 
 UNKNOWN = "und"
-#: Bounds of the labelled sample that is fetched to the driver, for each language, and of the model.
+#: Bounds of the labelled sample that is fetched to the driver, for each language, and of the model: landmarks of each
+#: language, and the n-grams of the kernel (those that most landmarks have).
 SAMPLE_PER_LANG, LANDMARKS_PER_LANG, MAX_GRAMS = 300, 48, 8192
+#: Codes of n-grams begin here for n of 1 to 3, and end here.
+BEGINS, CODES = (0, 1 << 8, (1 << 8) + (1 << 16)), (1 << 8) + (1 << 16) + (1 << 24)
 RIDGE, SHARPNESS = 1e-2, 6.0
 
 
@@ -32,7 +36,10 @@ def grams(buf: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndar
         if n > 1:
             code = (code[:-1] << 8) | buf[n - 1 :]
         inside = row[: len(code)] == row[n - 1 :]
-        yield code[inside] + np.int32((n - 1) << 24), row[: len(code)][inside]
+        yield code[inside] + np.int32(BEGINS[n - 1]), row[: len(code)][inside]
+
+
+_TABLES: dict[bytes, np.ndarray] = {}
 
 
 @dataclass
@@ -43,9 +50,13 @@ class Model:
     weights: np.ndarray  # landmarks x langs
 
     def table(self) -> np.ndarray:
-        out = np.full(3 << 24, len(self.codes), np.uint16)
-        out[self.codes] = np.arange(len(self.codes))
-        return out
+        """The place of each n-gram among those that count; 34 MB, made once by each Python worker."""
+        key = self.codes.tobytes()
+        if key not in _TABLES:
+            _TABLES.clear()
+            _TABLES[key] = np.full(CODES, len(self.codes), np.uint16)
+            _TABLES[key][self.codes] = np.arange(len(self.codes))
+        return _TABLES[key]
 
     def margins(self, buf: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Rows x langs, by batched matrix products."""
@@ -65,13 +76,13 @@ def kernel(seen: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     return (seen @ landmarks.T) / np.sqrt(np.maximum(seen.sum(1), 1))[:, None]
 
 
-def fit(samples: list[tuple[str, np.ndarray]], langs: list[str]) -> Model:
+def fit(samples: list[tuple[str, np.ndarray]], langs: list[str], landmarks: int = LANDMARKS_PER_LANG, max_grams: int = MAX_GRAMS) -> Model:
     """samples: language and distinct n-gram codes of each labelled text, in a fixed order."""
     chosen: list[int] = []
     for lang in langs:
-        chosen += [i for i, (x, _) in enumerate(samples) if x == lang][:LANDMARKS_PER_LANG]
+        chosen += [i for i, (x, _) in enumerate(samples) if x == lang][:landmarks]
     codes, df = np.unique(np.concatenate([samples[i][1] for i in chosen]), return_counts=True)
-    codes = np.sort(codes[np.lexsort((codes, -df))][:MAX_GRAMS])
+    codes = np.sort(codes[np.lexsort((codes, -df))][: min(max_grams, 65535)])
     seen = np.zeros((len(samples), len(codes)), np.float32)
     for i, (_, c) in enumerate(samples):
         at = np.searchsorted(codes, c)
@@ -109,21 +120,25 @@ def sample(docs: DataFrame, trainable, per_lang: int = SAMPLE_PER_LANG) -> list[
     return [(got["lang"][i].as_py(), np.asarray(got["codes"][i].values)) for i in order]
 
 
-def identify(docs: DataFrame, held_out_bucket: int = 2, buckets: int = 4) -> DataFrame:
-    """Predicted language of every document, from its whole text.
+def identify(docs: DataFrame, held_out_bucket: int = 2, buckets: int = 4, per_lang: int = SAMPLE_PER_LANG, landmarks: int = LANDMARKS_PER_LANG, max_grams: int = MAX_GRAMS, keep: list[str] | None = None) -> DataFrame:
+    """Predicted language of every document, from its whole text: doc_id, held_out, lang_pred, score and those in `keep`.
 
-    The model learns from a bounded sample of documents outside the held-out bucket (crc32 of the id's text, modulo
+    The model learns from a sample of at most `per_lang` documents of each language outside the held-out bucket (crc32 of the id's text, modulo
     `buckets`) whose lang is not null. A null text, one without a letter, or any text if nothing could be learned, is
     `und` with score 0. The score is the softmax of the regression outputs. An empty table gives no rows; a null id
-    counts as the empty text.
+    counts as the empty text. Rows that repeat are predicted alike. Kept columns may have any names; those named like a
+    result are replaced.
     """
     bucket = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % buckets
-    samples = sample(docs, bucket != held_out_bucket)
+    samples = sample(docs.select("doc_id", "text", "lang"), bucket != held_out_bucket, per_lang)
     langs = sorted({x for x, _ in samples})
-    model = fit(samples, langs) if langs else None
-    rows = docs.select("doc_id", (bucket == held_out_bucket).alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), F.col("text").cast("binary").alias("text"))
+    model = fit(samples, langs, landmarks, max_grams) if langs else None
+    keep = [c for c in keep or [] if c not in ("doc_id", "held_out", "lang_pred", "score")]
+    own = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("own")
+    out = ["doc_id", "held_out", "lang_pred", "score", *[F.col("own").getField(c).alias(c) for c in keep]]
+    rows = docs.select(own, "doc_id", (bucket == held_out_bucket).alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), F.col("text").cast("binary").alias("text"))
     if model is None:
-        return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)}).select(*out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +152,8 @@ def identify(docs: DataFrame, held_out_bucket: int = 2, buckets: int = 4) -> Dat
                 known = part.column("letters").to_numpy(zero_copy_only=False).astype(bool)
                 best, score = np.where(known, best, len(model.langs)), np.where(known, score, 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(names[best], pa.string()), pa.array(score.astype(np.float64))], names=["doc_id", "held_out", "lang_pred", "score"]
+                    [part.column("doc_id"), part.column("held_out"), pa.array(names[best], pa.string()), pa.array(score.astype(np.float64)), part.column("own")], names=["doc_id", "held_out", "lang_pred", "score", "own"]
                 )
 
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    schema = StructType([docs.schema["doc_id"], StructField("held_out", BooleanType()), StructField("lang_pred", StringType()), StructField("score", DoubleType()), rows.schema["own"]])
+    return rows.mapInArrow(run, schema).select(*out)

@@ -311,8 +311,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "set_id long, elements binary").dropDuplicates(["set_id"])
 
 
-def join(docs: DataFrame, chunk: int = CHUNK, keep: list[str] | None = None, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document, and the columns `keep`.
+def join(docs: DataFrame, chunk: int = CHUNK, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document.
 
     Documents link if their sets of distinct shingles of `shingle` words (words as in the module `common`, A-Z
     lower-cased; fewer words are one shingle) have a Jaccard similarity of at least `percent` (80 to 99) percent. component_id is the smallest doc_id that links

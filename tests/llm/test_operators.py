@@ -90,21 +90,36 @@ def test_binomial_bound():
 
 
 def test_certified_cutoffs_reject_few_good_documents(spark):
-    """With many labels, the share of good documents rejected by the rules stays within the limit."""
+    """With many labels, the share of good documents rejected by the rules stays within the limit; copies of one text
+    certify nothing; many strata are no difficulty."""
     from pyspark.sql import functions as F
 
-    from tessera.llm.quality import COUNTS, fit_cutoffs, verdict
+    from tessera.llm.quality import COUNTS, fit_cutoffs, with_verdict
 
     n = 20_000
     r = np.random.default_rng(0)
     symbols = np.where(np.arange(n) % 10 == 0, 300, r.integers(0, 4, n))
-    table = [(i, "en", 100, 600, int(s), 0, 0, 5, 10, 500) for i, s in enumerate(symbols)]
-    counts = spark.createDataFrame(table, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS))
+    table = [(i, "en", i, 100, 600, int(s), 0, 0, 5, 10, 500) for i, s in enumerate(symbols)]
+    counts = spark.createDataFrame(table, "doc_id long, stratum string, text_hash long, " + ", ".join(f"{c} long" for c in COUNTS))
     labels = counts.select("doc_id", F.when(F.col("n_symbols") == 300, 0).otherwise(1).alias("quality"))
     cuts = fit_cutoffs(counts, labels)
-    kept = counts.withColumn("k", verdict(cuts)).groupBy(F.col("n_symbols") == 300).agg(F.avg(F.col("k").cast("int"))).collect()
+    kept = with_verdict(counts, cuts).groupBy(F.col("n_symbols") == 300).agg(F.avg(F.col("passes").cast("int"))).collect()
     share = {bool(x[0]): x[1] for x in kept}
     assert share[True] == 0.0 and share[False] > 0.95
+    assert fit_cutoffs(counts.withColumn("text_hash", F.col("n_symbols")), labels) == {}
+    many = {f"s{i}": cuts["en"] for i in range(3000)} | {None: cuts["en"]}
+    assert with_verdict(counts.withColumn("stratum", F.lit(None).cast("string")), many).filter("not passes").count() == int((symbols == 300).sum())
+
+
+def test_quality_keeps_columns(odd):
+    from tessera.llm.quality import judge
+
+    labels = odd.selectExpr("doc_id", "1 as quality")
+    got = judge(odd, labels, keep=odd.columns)
+    more = [c for c in odd.columns if c not in ("doc_id", "n_words", "kept")]
+    assert got.columns[-len(more) :] == more
+    want = {r.doc_id: (r.text, r.lang, r.source) for r in odd.collect()}
+    assert {r.doc_id: (r.text, r.lang, r.source) for r in got.collect()} == want
 
 
 # -- repeats
@@ -655,6 +670,38 @@ def test_mixture(docs, odd, empty):
     whole = mix(odd, target_share=1.0, max_epochs=1, keep=odd.columns)
     assert whole.columns == [*odd.columns, "copies"] and {r.doc_id for r in whole.collect()} >= {4, 5, 10, 13}
     assert mix(repeated(odd), target_share=1.0, max_epochs=1, keep=odd.columns).filter("doc_id = 10").count() == 2
+    clashing = odd.selectExpr("*", "7L as copies", "8 as own")
+    got = mix(clashing, target_share=1.0, max_epochs=1, keep=clashing.columns)
+    assert got.columns.count("copies") == 1 and {(r.copies, r.own, r.text_hash) for r in got.collect()} == {(1, 8, None)}
+
+
+def test_drawn_documents_are_the_prefix_of_the_stream(spark):
+    """Epoch after epoch in one order, as far as the budget reaches, by plain addition over the drawn order."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm.mixing import mix
+
+    r = random.Random(2)
+    rows = [(i, " ".join(["w"] * r.randint(0, 30)), r.choice(["en", "de", None]), r.choice(["a", "b", None])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    size = {d: len(t.split()) for d, t, *_ in rows}
+    for share, epochs in ((0.4, 3), (1.5, 3), (2.9, 3)):
+        got = mix(docs, weights={"lang": {"en": 3}, "source": {"a": 2}}, target_share=share, max_epochs=epochs)
+        copies = {x.doc_id: x.copies for x in got.collect()}
+        leaves = {(x.lang, x.source): (x.leaf_tokens, x.leaf_budget) for x in got.collect()}
+        whole = {k: b // t for k, (t, b) in leaves.items()}
+        at = {x.doc_id: x.h for x in docs.select("doc_id", F.xxhash64(F.lit(17), F.coalesce(*[F.when(F.col("lang").eqNullSafe(F.lit(k[0])) & F.col("source").eqNullSafe(F.lit(k[1])), F.lit(n).cast("long")) for k, n in whole.items()], F.lit(0).cast("long")), "doc_id", F.xxhash64("text")).alias("h")).collect()}
+        for key, (tokens, budget) in leaves.items():
+            ids = sorted((d for d, _, lang, source in rows if (lang, source) == key), key=lambda d: (at[d], d))
+            assert sum(size[d] for d in ids) == tokens
+            left = budget - whole[key] * tokens
+            want, total = {d: whole[key] for d in ids}, 0
+            for d in ids:
+                total += size[d]
+                if total > left or left == 0:
+                    break
+                want[d] += 1
+            assert {d: copies.get(d, 0) for d in ids} == want
 
 
 # -- shards
@@ -691,6 +738,17 @@ def test_written_shards(spark, docs, tmp_path):
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 4
 
 
+def test_written_shards_of_odd_rows(spark, odd, tmp_path):
+    from tessera.llm.sharding import write_shards
+
+    rows = repeated(odd)
+    write_shards(rows, str(tmp_path / "odd"), n_shards=3)
+    back = spark.read.parquet(str(tmp_path / "odd"))
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in back.collect()))) == sorted(map(repr, ((r.doc_id, r.text) for r in rows.collect())))
+    slots = sorted((r.shard, r.slot) for r in back.collect())
+    assert slots == [(s, i) for s in sorted({s for s, _ in slots}) for i in range(sum(x == s for x, _ in slots))]
+
+
 # -- language
 
 
@@ -706,11 +764,38 @@ def test_languages(docs, odd, empty):
     few = {r.doc_id: r.lang_pred for r in identify(odd).collect()}
     assert few[1] == few[2] == few[15] == few[19] == UNKNOWN and few[10] == "en"
     assert identify(empty).count() == 0
+    wide = identify(odd, per_lang=3, landmarks=2, max_grams=500, keep=odd.columns)
+    assert wide.columns == ["doc_id", "held_out", "lang_pred", "score", *[c for c in odd.columns if c not in ("doc_id", "score")]] and wide.count() == odd.count()
     from pyspark.sql import functions as F
 
     assert {r.lang_pred for r in identify(repeated(odd).withColumn("lang", F.lit(None).cast("string"))).collect()} == {UNKNOWN}
 
 
+def test_language_model_against_a_dense_solve():
+    """Margins of the fitted model are those of ridge regression under the Nystrom kernel, solved in full."""
+    from tessera.llm.language import RIDGE, fit, presence
+
+    r = random.Random(6)
+    texts = [("".join(r.choice(a) for _ in range(80)), lang) for lang, a in (("x", "abcd "), ("y", "cdefg "), ("z", "fgha ")) for _ in range(25)]
+
+    def codes(t):
+        return sorted({c for n, first in ((1, 0), (2, 256), (3, 65792)) for c in (int.from_bytes(t[i : i + n].encode(), "big") + first for i in range(len(t) - n + 1))})
+
+    model = fit([(lang, np.array(codes(t))) for t, lang in texts], ["x", "y", "z"], landmarks=6)
+    sets = [set(codes(t)) & set(model.codes.tolist()) for t, _ in texts]
+    chosen = [i for lang in "xyz" for i in [k for k, (_, x) in enumerate(texts) if x == lang][:6]]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    k_nm = np.array([[kernel(a, sets[i]) for i in chosen] for a in sets])
+    near = k_nm @ np.linalg.pinv(k_nm[chosen], rcond=1e-6) @ k_nm.T
+    y = np.array([[1.0 if lang == x else -1.0 for x in "xyz"] for _, lang in texts])
+    want = near @ np.linalg.solve(near + RIDGE * len(texts) * np.eye(len(texts)), y)
+    buf = np.frombuffer("".join(t for t, _ in texts).encode(), np.uint8)
+    got = model.margins(buf, np.arange(len(texts) + 1) * 80, model.table())
+    assert np.abs(got - want).max() < 1e-3
+    seen = presence(buf, np.arange(len(texts) + 1) * 80, model.table(), len(model.codes))
+    assert [set(model.codes[x > 0].tolist()) for x in seen] == sets
+
+
 # -- pipeline
 
 
