@@ -444,6 +444,8 @@ def test_surrogates_against_plain_search(spark, rows):
             at = e
         m = regex.fullmatch("".join(shape) + regex.escape(text[at:]), got.text, regex.S)
         assert m, (text, got.text)
+        if any(x[1] == y[0] for x, y in zip(want, want[1:])):
+            continue  # where one ends and the next begins can't be seen
         for (b, e, kind, units), new in zip(want, m.groups(), strict=True):
             assert new != text[b:e] or kind == "name"
             if len(units) == 1 and units[0][0] not in ("given man", "given woman", "family"):
