@@ -185,6 +185,41 @@ def schema_type(schema: dict) -> str:
     return {"string": "string", "number": "double", "boolean": "boolean"}[kind]
 
 
+def _opened(schema: dict, path: list[str]) -> str:
+    """Type of a document in which only a path is taken apart; all else stays as it is, as a variant."""
+    if not path:
+        return "string"
+    if path[0] == "*":
+        return f"array<{_opened(schema['items'], path[1:])}>"
+    return "struct<" + ",".join(f"`{k}`:{_opened(v, path[1:]) if k == path[0] else 'variant'}" for k, v in schema["properties"].items()) + ">"
+
+
+def rewritten(data: Column | str, schema: dict, path: str | list[str], f) -> Column:
+    """Documents of a schema with f applied to the text at a path, or to each of them ("*" for array elements)."""
+    parts = steps(path)
+
+    def walk(c: Column, rest: list[str]) -> Column:
+        if not rest:
+            return f(c)
+        if rest[0] == "*":
+            return F.transform(c, lambda x: walk(x, rest[1:]))
+        return c.withField(f"`{rest[0]}`", walk(c[rest[0]], rest[1:]))
+
+    return F.to_json(walk(F.from_json(F.col(data) if isinstance(data, str) else data, _opened(schema, parts)), parts))
+
+
+def with_target(schema: dict, old: str, new: str) -> dict:
+    """The schema with all foreign keys to one table pointing to another."""
+    out = dict(schema)
+    if out.get("foreignKey") == old:
+        out["foreignKey"] = new
+    if "properties" in out:
+        out["properties"] = {k: with_target(v, old, new) for k, v in out["properties"].items()}
+    if "items" in out:
+        out["items"] = with_target(out["items"], old, new)
+    return out
+
+
 def ref_paths(schema: dict, wanted: str, at: tuple[str, ...] = ()) -> list[list[str]]:
     """Every path whose schema is a $ref to `wanted`; "*" for array elements."""
     if schema.get("$ref") == wanted:

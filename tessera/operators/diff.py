@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.store import Store, tables_of
+from tessera.sources.store import Store, revision_rows, tables_of
 
 SHOWN = ("id", "version_id", "hash", "data", "updated_at")
 
@@ -29,17 +29,31 @@ def classify(left_id: Column, right_id: Column, left_content: Column, right_cont
 def row_pairs(store: Store, from_revision: str, to_revision: str, table_created_id: str | None = None, columns: tuple[str, ...] = SHOWN) -> DataFrame:
     """Both sides of every row whose version isn't shared, paired by identity: from_*, to_*, row_created_id.
 
-    A version linked on both sides can't be a change, so links are compared first and only what is left meets its
-    payload: two anti-joins on narrow links instead of a full join of all documents.
+    A version linked on both sides can't be a change, so links are compared first: one aggregate over the narrow links of
+    both sides leaves the unshared versions with their side. Only these meet their payload, which is read once, and the
+    two sides of an identity, which a revision holds once, come together by a second aggregate.
     """
-    a, b = linked_rows(store, from_revision, table_created_id), linked_rows(store, to_revision, table_created_id)
-    only = lambda x, y: x.join(y.select("version_id"), "version_id", "left_anti")
+    links = unshared_links(store, from_revision, to_revision, table_created_id)
+    wanted = list(dict.fromkeys(("id", *columns)))
+    rows = store.row_version.select("version_id", F.col("created_id").alias("row_created_id"), *[c for c in wanted if c != "version_id"]).join(links, "version_id")
+    whole = F.struct(F.col("table_created_id"), *[F.col(c) for c in wanted])
+    sides = {p: F.any_value(F.when(F.col("side") == n, whole), True).alias(p) for p, n in (("from", 1), ("to", 2))}
+    both = rows.groupBy("row_created_id").agg(*sides.values())
+    out = [F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in sides for c in wanted]
+    return both.select("row_created_id", *out, F.coalesce("to.table_created_id", "from.table_created_id").alias("table_created_id"))
+
 
-    def side(links: DataFrame, prefix: str) -> DataFrame:
-        rows = store.row_version.join(links, "version_id")
-        return rows.select(F.col("created_id").alias("row_created_id"), F.col("table_created_id").alias(f"{prefix}_table_created_id"), *[F.col(c).alias(f"{prefix}_{c}") for c in dict.fromkeys(("id", *columns))])
+def unshared_links(store: Store, from_revision: str, to_revision: str, table_created_id: str | None = None) -> DataFrame:
+    """version_id, side (1: from, 2: to) and table_created_id of the row versions that one of the revisions links alone."""
+    both = linked_rows(store, from_revision, table_created_id).withColumn("side", F.lit(1)).unionByName(linked_rows(store, to_revision, table_created_id).withColumn("side", F.lit(2)))
+    return both.groupBy("version_id").agg(F.bit_or("side").alias("side"), F.max("table_created_id").alias("table_created_id")).filter("side < 3")
 
-    return side(only(a, b), "from").join(side(only(b, a), "to"), "row_created_id", "full").withColumn("table_created_id", F.coalesce("to_table_created_id", "from_table_created_id"))
+
+def with_documents(pairs: DataFrame, store: Store) -> DataFrame:
+    """Narrow pairs with the documents of both sides."""
+    left = store.row_version.select(F.col("version_id").alias("from_version_id"), F.col("data").alias("from_data"))
+    right = store.row_version.select(F.col("version_id").alias("to_version_id"), F.col("data").alias("to_data"))
+    return pairs.join(left, "from_version_id", "left").join(right, "to_version_id", "left")
 
 
 def row_changes(store: Store, from_revision: str, to_revision: str, table_created_id: str | None = None, search: str | None = None, kinds: list[str] | None = None, columns: tuple[str, ...] = SHOWN) -> DataFrame:
@@ -63,11 +77,9 @@ ROW_ORDER = lambda: [F.coalesce("to_updated_at", "from_updated_at").desc(), F.co
 
 
 def page_with_payload(changes: DataFrame, store: Store, order: list[Column], offset: int, limit: int) -> DataFrame:
-    """A page of narrow changes, then the documents of its rows only."""
-    page = changes.orderBy(*order).offset(offset).limit(limit)
-    left = store.row_version.select(F.col("version_id").alias("from_version_id"), F.col("data").alias("from_data"))
-    right = store.row_version.select(F.col("version_id").alias("to_version_id"), F.col("data").alias("to_data"))
-    return page.join(left, "from_version_id", "left").join(right, "to_version_id", "left")
+    """A page of narrow changes, then the documents of its rows only. Pages far down are better read by keyset
+    (`paging.keyset_page`), as an offset sorts all before it."""
+    return with_documents(changes.orderBy(*order).offset(offset).limit(limit), store)
 
 
 def change_counts(changes: DataFrame, kind: str = "change_type") -> DataFrame:
@@ -112,6 +124,41 @@ def revision_changes(store: Store, revision_id: str, compare_with: str | None =
     return tables.crossJoin(rows).withColumn("total_changes", F.col("tables_total") + F.col("rows_total"))  # one row each
 
 
+def view_changes(store: Store, from_revision: str, to_revision: str) -> DataFrame:
+    """table_id, id and kind (added, removed, renamed, modified) of saved views that differ, and whether the view is, or
+    was, the default of a table whose default changes."""
+
+    def views(revision: str, p: str) -> DataFrame:
+        rows = revision_rows(store, revision, True).filter("table_id = 'sys_views'").select(F.col("id").alias("table_id"), "data")
+        each = F.explode(F.from_json(F.get_json_object("data", "$.views"), "array<struct<id:string,name:string,whole:string>>"))
+        whole = F.explode(F.from_json(F.get_json_object("data", "$.views"), "array<string>"))
+        config = rows.select("table_id", whole.alias("w")).select("table_id", F.get_json_object("w", "$.id").alias("id"), F.to_json(F.from_json("w", "struct<columns:variant,filters:variant,sorts:variant,search:variant,description:variant>")).alias(f"{p}_config"))
+        named = rows.select("table_id", F.get_json_object("data", "$.defaultViewId").alias("default"), each.alias("v")).select("table_id", "v.id", F.col("v.name").alias(f"{p}_name"), (F.col("v.id") == F.col("default")).alias(f"{p}_default"))
+        return named.join(config, ["table_id", "id"])
+
+    both = views(from_revision, "a").join(views(to_revision, "b"), ["table_id", "id"], "full")
+    kind = F.when(F.col("a_name").isNull(), "added").when(F.col("b_name").isNull(), "removed").when(F.col("a_name") != F.col("b_name"), "renamed").when(F.col("a_config") != F.col("b_config"), "modified")
+    moved = F.coalesce("a_default", F.lit(False)) != F.coalesce("b_default", F.lit(False))
+    return both.select("table_id", "id", kind.alias("kind"), moved.alias("default_changed")).filter("kind is not null or default_changed")
+
+
+def table_change_details(store: Store, from_revision: str, to_revision: str) -> DataFrame:
+    """Changed tables with their changed rows, the ledger entries about them that are new, and their changed views."""
+    tables = table_changes(store, from_revision, to_revision)
+    rows = row_changes(store, from_revision, to_revision, columns=()).groupBy(F.col("table_created_id").alias("created_id")).agg(F.count("*").alias("n_rows"))
+    ledger = lambda r: revision_rows(store, r, True).filter("table_id = 'sys_migrations'")
+    new = ledger(to_revision).join(ledger(from_revision).select("id"), "id", "left_anti").select(F.get_json_object("data", "$.tableId").alias("name"))
+    new = new.groupBy("name").agg(F.count("*").alias("n"))
+    seen = view_changes(store, from_revision, to_revision).groupBy(F.col("table_id").alias("name")).agg(F.count("kind").alias("n"))
+
+    def by_name(counts: DataFrame, c: str) -> DataFrame:
+        named = tables.select("created_id", F.explode(F.array_distinct(F.array_compact(F.array("from_id", "to_id")))).alias("name"))
+        return named.join(counts, "name").groupBy("created_id").agg(F.sum("n").alias(c))
+
+    out = tables.join(rows, "created_id", "left").join(by_name(new, "n_entries"), "created_id", "left").join(by_name(seen, "n_views"), "created_id", "left")
+    return out.fillna(0, ["n_rows", "n_entries", "n_views"])
+
+
 def field_changes(changes: DataFrame, fields: list[str]) -> DataFrame:
     """One row for each changed field of rows with from_data and to_data, by dotted paths."""
     sides = lambda f: (F.get_json_object("from_data", f"$.{f}"), F.get_json_object("to_data", f"$.{f}"))

@@ -10,19 +10,23 @@ from tessera.operators.diff import row_pairs
 from tessera.sources.store import Store
 
 COLUMNS = ("id", "version_id", "hash", "schema_hash", "published_at", "meta", "updated_at", "data")
+#: What kinds, counts and pages need; documents are joined to what is left (`diff.with_documents`).
+NARROW = ("id", "version_id", "hash", "published_at", "meta", "updated_at")
 
 
-def reported_pairs(store: Store, head: str, draft: str, table_created_id: str | None = None) -> DataFrame:
-    """Pairs of unshared rows with `change_type` by effective content, `one_sided` and `replaced`.
+def reported_pairs(store: Store, head: str, draft: str, table_created_id: str | None = None, columns: tuple[str, ...] = COLUMNS, marked: bool = True) -> DataFrame:
+    """Pairs of unshared rows with `change_type` by effective content, `one_sided` and, if `marked`, `replaced`.
 
     Content is the hash first and then publishedAt and meta; the schema's hash is no content. Two one-sided pairs of one
     table and id are a replaced row; only one-sided pairs are grouped to find them.
     """
-    rows = row_pairs(store, head, draft, table_created_id, COLUMNS)
+    rows = row_pairs(store, head, draft, table_created_id, columns)
     same = F.col("from_hash").eqNullSafe(F.col("to_hash")) & F.col("from_published_at").eqNullSafe(F.col("to_published_at")) & F.col("from_meta").eqNullSafe(F.col("to_meta"))
     renamed = F.col("from_id") != F.col("to_id")
     kind = F.when(F.col("from_id").isNull(), "ADDED").when(F.col("to_id").isNull(), "REMOVED").when(renamed & ~same, "RENAMED_AND_MODIFIED").when(renamed, "RENAMED").when(~same, "MODIFIED")
     rows = rows.withColumns({"change_type": kind, "one_sided": F.col("from_id").isNull() | F.col("to_id").isNull(), "row_id": F.coalesce("to_id", "from_id")}).filter("change_type is not null")
+    if not marked:
+        return rows
     twice = rows.filter("one_sided").groupBy("table_created_id", "row_id").agg(F.count("*").alias("n"), F.max(F.coalesce("to_updated_at", "from_updated_at")).alias("replaced_at")).filter("n = 2")
     rows = rows.join(twice.select("table_created_id", "row_id", "replaced_at", F.lit(True).alias("r")), ["table_created_id", "row_id"], "left")
     return rows.withColumn("replaced", F.coalesce(F.col("r") & F.col("one_sided"), F.lit(False))).drop("r")
@@ -58,6 +62,12 @@ def row_counts(pairs: DataFrame) -> DataFrame:
     )
 
 
+def unit_counts(units: DataFrame) -> DataFrame:
+    """For each table: how many rows have units of their own, and whether any has."""
+    per = units.groupBy("table_created_id").agg(F.count_distinct("row").alias("rows_with_units"))
+    return per.withColumn("has_row_units", F.col("rows_with_units") > 0)
+
+
 def recent_order() -> list[Column]:
     """Rows with a time newest first, removed rows last, ties by the id's bytes."""
     at = F.when(F.col("replaced"), F.col("replaced_at")).otherwise(F.col("to_updated_at"))
@@ -84,7 +94,7 @@ def field_value(rows: DataFrame, path: str, start: int, length: int) -> DataFram
 
 def token(value: Column) -> Column:
     """SHA-256 in the URL-safe alphabet without padding."""
-    return F.rtrim(F.lit("="), F.translate(F.base64(F.unhex(F.sha2(value, 256))), "+/", "-_"))
+    return F.rtrim(F.translate(F.base64(F.unhex(F.sha2(value, 256))), "+/", "-_"), F.lit("="))
 
 
 def cut_bytes(value: Column, most: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.paging import decode_cursor, sort_hash
 from tessera.sources.store import Store
 
 
@@ -67,6 +68,19 @@ def previous_states(store: Store, revision_id: str, table_created_id: str, row_c
     return found.join(store.row_version.select("version_id", "data"), "version_id")
 
 
+def row_page(store: Store, revision_id: str, table_created_id: str, row_created_id: str, first: int, cursor: str | None = None) -> DataFrame:
+    """A page of a row's earlier states with the cursor after each. A cursor is bound to the tip, the table and the row that
+    it was made for; another one is refused."""
+    made_for = [{"tip": revision_id}, {"table": table_created_id}, {"row": row_created_id}]
+    values = decode_cursor(cursor, made_for)
+    if cursor is not None and (values is None or len(values) != 1 or not isinstance(values[0], int)):
+        raise ValueError("the cursor is of another history")
+    found = previous_states(store, revision_id, table_created_id, row_created_id, values[0] if values else None, first)
+    bound = F.lit(sort_hash(made_for))
+    text = F.concat(F.lit("[["), F.col("introduced_seq").cast("string"), F.lit('], "'), bound, F.lit('"]'))
+    return found.withColumn("cursor", F.rtrim(F.translate(F.base64(F.encode(text, "UTF-8")), "+/", "-_"), F.lit("=")))
+
+
 def floor_revision(store: Store, points: DataFrame) -> DataFrame:
     """For each (branch_id, at): the latest revision of the branch with sequence <= at."""
     r = store.revision.select("branch_id", F.col("sequence").alias("found_seq"), F.col("id").alias("found_id"))
@@ -74,8 +88,19 @@ def floor_revision(store: Store, points: DataFrame) -> DataFrame:
 
 
 def integrity(store: Store, revision_id: str, table_created_id: str) -> DataFrame:
-    """One row of flags: a draft below the tip, a duplicate table or row in a revision, a row that comes back."""
+    """One row of flags: a fork that leads back to its own branch, a branch whose start or parent is missing, another
+    project, a draft below the tip, a duplicate table or row in a revision, a row that comes back. Windows and
+    one-row results are over branches and revisions, not rows."""
     line = lineage(store, revision_id)
+    starts = line.join(store.revision.filter("is_start").select("branch_id", F.col("parent_id")), "branch_id", "left").join(store.revision.select(F.col("id").alias("parent_id"), F.col("branch_id").alias("parent_branch")), "parent_id", "left")
+    starts = starts.join(store.branch.select(F.col("id").alias("branch_id"), "project_id", "is_root"), "branch_id", "left")
+    seen = line.select(F.col("branch_id").alias("parent_branch"), F.col("depth").alias("parent_depth"))
+    starts = starts.join(seen, "parent_branch", "left").join(store.revision.filter("is_start").select("branch_id", F.lit(True).alias("started")).distinct(), "branch_id", "left")
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    of_branches = starts.agg(
+        some(F.col("parent_depth") <= F.col("depth")).alias("cycle"), some(F.col("started").isNull() | (F.col("parent_id").isNotNull() & F.col("parent_branch").isNull()) | (F.col("parent_id").isNull() & ~F.coalesce("is_root", F.lit(False)))).alias("gap"),
+        (F.count_distinct("project_id") > 1).alias("cross_project"),
+    )
     path = store.revision.join(line, "branch_id").filter("sequence <= max_seq")
     drafts = path.agg(F.coalesce(F.bool_or(F.col("is_draft") & (F.col("id") != revision_id)), F.lit(False)).alias("draft_in_ancestry"))
     tables = store.table_version.filter(F.col("created_id") == table_created_id).select(F.col("version_id").alias("table_version_id"))
@@ -86,7 +111,7 @@ def integrity(store: Store, revision_id: str, table_created_id: str) -> DataFram
     order = held.groupBy("sequence").agg(F.min("table_version_id").alias("table_version_id")).withColumn("place", F.row_number().over(Window.orderBy("sequence")))  # one row a revision
     spans = rows.join(order, "table_version_id").groupBy("created_id").agg(F.count_distinct("place").alias("n"), F.max("place").alias("hi"), F.min("place").alias("lo"))
     back = spans.agg(F.coalesce(F.bool_or(F.col("n") < F.col("hi") - F.col("lo") + 1), F.lit(False)).alias("reappearing_row"))
-    return drafts.crossJoin(twice).crossJoin(row_twice).crossJoin(back)  # one row each
+    return of_branches.crossJoin(drafts).crossJoin(twice).crossJoin(row_twice).crossJoin(back)  # one row each
 
 
 def assert_integrity(store: Store, revision_id: str, table_created_id: str) -> None:

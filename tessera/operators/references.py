@@ -101,9 +101,3 @@ def follow_renames(start: DataFrame, pairs: DataFrame, hops: int) -> DataFrame:
         edge = edge.join(pairs.select(F.col("old_id").alias("id"), "new_id"), "id").select(F.col("new_id").alias("id")).distinct()
         seen = seen.unionByName(edge).distinct()
     return seen
-
-
-def renamed_references(rows: DataFrame, path: str, pairs: DataFrame) -> DataFrame:
-    """Documents of rows whose reference at a top-level path follows a rename."""
-    was = F.get_json_object("data", f"$.{path}")
-    return rows.join(pairs.select(F.col("old_id"), "new_id"), was == F.col("old_id")).withColumn("data", F.expr(f"replace(data, concat('\"{path}\":\"', old_id, '\"'), concat('\"{path}\":\"', new_id, '\"'))")).drop("old_id", "new_id")

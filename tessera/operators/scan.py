@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.jsonpath import compile_order, compile_where, remap
 from tessera.functions.paging import Page, decode_cursor, keyset_page
+from tessera.functions.plugins import Plugin, computed
 from tessera.sources.store import Store, links_of, revision_rows, rows_of, table_at, tables_of
 
 DEFAULT_VIEWS = '{"version":1,"defaultViewId":"default","views":[{"id":"default","name":"Default"}]}'
@@ -28,13 +29,17 @@ def count_rows(store: Store, table_version: str) -> DataFrame:
     return links_of(store, table_version).agg(F.count("*").alias("n_rows"))
 
 
-def get_rows(store: Store, revision_id: str, table_id: str, first: int, cursor: str | None = None, where: dict | None = None, order: list[dict] | None = None, schema: dict | None = None) -> tuple[Page, DataFrame]:
-    """A keyset page of a table's rows and, apart, their total; links narrow the rows before documents are read."""
+def get_rows(store: Store, revision_id: str, table_id: str, first: int, cursor: str | None = None, where: dict | None = None, order: list[dict] | None = None, schema: dict | None = None, plugins: list[Plugin] | None = None) -> tuple[Page, DataFrame]:
+    """A keyset page of a table's rows and, apart, their total; links narrow the rows before documents are read. With
+    plugins, the rows of the page (and they alone) are typed by the schema as `d` and computed."""
     version = table_at(store, revision_id, table_id)
     rows = rows_of(store, version) if version else store.row_version.limit(0)
     rows = rows.filter(compile_where(remap(where, schema or {})))
     parts = compile_order(order)
-    return keyset_page(rows, parts, first, decode_cursor(cursor, order)), rows.agg(F.count("*").alias("total"))
+    page = keyset_page(rows, parts, first, decode_cursor(cursor, order))
+    if plugins is not None:
+        page.rows = computed(page.rows, schema or {"type": "object", "properties": {}}, plugins)
+    return page, rows.agg(F.count("*").alias("total"))
 
 
 def branch_heads(store: Store, project_id: str) -> DataFrame:

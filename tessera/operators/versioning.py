@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.jsonpath import rewritten, steps
 from tessera.operators.diff import has_row_diffs, has_table_diffs
 from tessera.operators.references import references
 from tessera.sources.store import ROW_COLUMNS, Store, links_of, rows_of, tables_of
 
 
+#: Lengths of an ISO time to the day and to the second.
+DAY, SECOND = 10, 19
+
+
 class Refused(ValueError):
     """A transition that the store's rules don't allow."""
 
@@ -38,8 +44,10 @@ def touched_rows(store: Store, table_version: str, ids: DataFrame, version_of: C
 
 
 def update_rows(store: Store, table_version: str, changes: DataFrame, now: int) -> Store:
-    """Rows of a draft table with new documents: changes (id, data). Readonly rows are copied first, others change in place."""
-    mine = rows_of(store, table_version).join(changes.select("id", F.col("data").alias("new_data")), "id")
+    """Rows of a draft table with new documents: changes (id, data, and meta or schema_hash if they change too). Readonly
+    rows are copied first, others change in place."""
+    more = [c for c in ("meta", "schema_hash") if c in changes.columns]
+    mine = rows_of(store, table_version).drop(*more).join(changes.select("id", F.col("data").alias("new_data"), *more), "id")
     made = mine.withColumns({
         "old_version_id": F.col("version_id"), "version_id": F.when(F.col("readonly"), F.concat("version_id", F.lit(f"@{now}"))).otherwise(F.col("version_id")), "readonly": F.lit(False),
         "data": F.col("new_data"), "hash": F.md5("new_data"), "updated_at": F.lit(now).cast("long"),
@@ -151,12 +159,13 @@ def delete_branch(store: Store, branch_id: str) -> Store:
     return store.but(branch=store.branch.filter(F.col("id") != branch_id), revision=store.revision.filter(F.col("branch_id") != branch_id), revision_table=store.revision_table.join(mine.select(F.col("id").alias("revision_id")), "revision_id", "left_anti"))
 
 
-def rename_cascade(rows: DataFrame, path: str, pairs: DataFrame) -> DataFrame:
-    """id and new document of every row whose reference at a path follows a rename of its target."""
-    was = F.get_json_object("data", f"$.{path}")
-    hit = rows.select("id", "data", was.alias("old_id")).join(pairs, "old_id")
-    text = lambda c: F.concat(F.lit(f'"{path}":"'), c, F.lit('"'))
-    return hit.select("id", F.replace("data", text(F.col("old_id")), text(F.col("new_id"))).alias("data"))
+def rename_cascade(rows: DataFrame, schema: dict, path: str | list[str], pairs: DataFrame) -> DataFrame:
+    """id and new document of every row with a reference at a path ("*" for array elements) to a renamed target: pairs
+    (old_id, new_id). Only the values at the path change; all else of the document stays."""
+    named = references(rows, [steps(path)]).join(pairs.withColumnRenamed("old_id", "target"), "target")
+    per = named.groupBy("version_id").agg(F.map_from_entries(F.collect_set(F.struct("target", "new_id"))).alias("to"))  # references of one row
+    both = rows.join(per, "version_id")
+    return both.select("id", rewritten("data", schema, path, lambda v: F.coalesce(F.element_at("to", v), v)).alias("data"))
 
 
 def sweep(store: Store, protected: list[str] | None = None) -> Store:
@@ -168,7 +177,16 @@ def sweep(store: Store, protected: list[str] | None = None) -> Store:
 
 
 def next_migration_id(now: datetime, published: list[str], own: list[str]) -> str:
-    """An ISO time later than now, every published id and the last own one."""
-    read = lambda t: datetime.fromisoformat(t.replace("Z", "+00:00"))
-    at = max([now.astimezone(UTC), *[read(t) + timedelta(milliseconds=1) for t in [*published, *own]]])
+    """An ISO time not before now and later than every published id and own one: a millisecond later than an exact time, a
+    second later than one written to the second, a day later than one that shows its day."""
+
+    def past(text: str) -> datetime:
+        read = lambda t: datetime.fromisoformat(t).replace(tzinfo=UTC)
+        if re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}Z", text):
+            return read(text[:-1]) + timedelta(milliseconds=1)
+        if len(text) == DAY or text[DAY] == "t":
+            return read(text[:DAY]) + timedelta(days=1)
+        return read(text[:SECOND]) + timedelta(seconds=1)
+
+    at = max([now.astimezone(UTC), *map(past, [*published, *own])])
     return at.strftime("%Y-%m-%dT%H:%M:%S.") + f"{at.microsecond // 1000:03d}Z"

@@ -126,28 +126,33 @@ def q15(s):
     return migrations(s, "r4").join(migrations(s, "r3").select("id"), "id", "left_anti").select("id", "data")
 
 
-@query("q13_schema_impact", "SELECT '2024-02-01T00:00:00.000Z' AS id, 'add' AS op, 'priority' AS field")
+@query("q13_schema_impact", f"SELECT r.id, json_extract_string(p, '$.op') AS op, split_part(json_extract_string(p, '$.path'), '/', 3) AS field FROM {ROWS}, unnest(CAST(json_extract(r.data, '$.patches') AS JSON[])) AS u(p) WHERE k.table_version_id = 'zm4' AND r.id NOT IN (SELECT r.id FROM {ROWS} WHERE k.table_version_id = 'zm1')")
 def q13(s):
     new = q15(s).withColumn("p", F.explode(F.from_json(F.get_json_object("data", "$.patches"), "array<struct<op:string,path:string>>")))
     return new.select("id", F.col("p.op").alias("op"), F.regexp_extract("p.path", "/properties/([^/]+)", 1).alias("field"))
 
 
-@query("q14_view_changes", "SELECT 'v1' AS id, 'renamed' AS kind UNION ALL SELECT 'v2', 'removed' UNION ALL SELECT 'v3', 'added'")
-def q14(s):
-    from tessera.operators.scan import table_views
+SAVED = "(SELECT l.revision_id, r.id AS table_id, json_extract_string(v, '$.id') AS id, json_extract_string(v, '$.name') AS name, coalesce(json_extract_string(v, '$.search'), '') AS search, json_extract_string(r.data, '$.defaultViewId') = json_extract_string(v, '$.id') AS is_default FROM row_version r JOIN row_table k ON k.row_version_id = r.version_id JOIN revision_table l ON l.table_version_id = k.table_version_id JOIN table_version t ON t.version_id = k.table_version_id, unnest(CAST(json_extract(r.data, '$.views') AS JSON[])) AS u(v) WHERE t.id = 'sys_views')"
+VIEW_KIND = "CASE WHEN a.name IS NULL THEN 'added' WHEN b.name IS NULL THEN 'removed' WHEN a.name <> b.name THEN 'renamed' WHEN a.search <> b.search THEN 'modified' END"
+VIEW_CHANGES = f"SELECT * FROM (SELECT table_id, id, {VIEW_KIND} AS kind, coalesce(a.is_default, false) <> coalesce(b.is_default, false) AS default_changed FROM (SELECT * FROM {SAVED} AS x WHERE revision_id = 'r3') a FULL JOIN (SELECT * FROM {SAVED} AS x WHERE revision_id = 'r4') b USING (table_id, id)) AS v WHERE kind IS NOT NULL OR default_changed"
 
-    def views(r, p):
-        each = F.explode(F.from_json(F.get_json_object("views", "$.views"), "array<struct<id:string,name:string,search:string>>"))
-        return table_views(s, r, "orders").select(each.alias("v")).select("v.id", F.col("v.name").alias(f"{p}_name"), F.to_json(F.struct("v.search")).alias(f"{p}_config"))
 
-    both = views("r3", "a").join(views("r4", "b"), "id", "full")
-    kind = F.when(F.col("a_name").isNull(), "added").when(F.col("b_name").isNull(), "removed").when(F.col("a_name") != F.col("b_name"), "renamed").when(F.col("a_config") != F.col("b_config"), "modified")
-    return both.select("id", kind.alias("kind")).filter("kind is not null")
+@query("q14_view_changes", VIEW_CHANGES)
+def q14(s):
+    return diff.view_changes(s, "r3", "r4")
 
 
-@query("a16_view_counts", "SELECT 1 AS added, 1 AS removed, 1 AS renamed")
+@query("a16_view_counts", f"SELECT count(*) FILTER (kind = 'added') AS added, count(*) FILTER (kind = 'removed') AS removed, count(*) FILTER (kind = 'renamed') AS renamed, count(*) FILTER (kind = 'modified') AS modified FROM ({VIEW_CHANGES}) AS c")
 def a16(s):
-    return q14(s).agg(*[F.count_if(F.col("kind") == k).cast("int").alias(k) for k in ("added", "removed", "renamed")])
+    return q14(s).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("added", "removed", "renamed", "modified")])
+
+
+LEDGER_NEW = f"SELECT json_extract_string(r.data, '$.tableId') AS name FROM {ROWS} WHERE k.table_version_id = 'zm4' AND r.id NOT IN (SELECT r.id FROM {ROWS} WHERE k.table_version_id = 'zm1')"
+
+
+@query("q7c_table_change_details", f"SELECT t.*, coalesce(s.n, 0) AS n_rows, (SELECT count(*) FROM ({LEDGER_NEW}) AS e WHERE e.name IN (t.from_id, t.to_id)) AS n_entries, (SELECT count(*) FROM ({VIEW_CHANGES}) AS w WHERE w.kind IS NOT NULL AND w.table_id IN (t.from_id, t.to_id)) AS n_views FROM {TABLES} LEFT JOIN (SELECT table_created_id, count(*) AS n FROM {pairs_sql('r3', 'r4')} WHERE change_type IS NOT NULL GROUP BY 1) s ON s.table_created_id = t.created_id WHERE t.change_type IS NOT NULL")
+def q7c(s):
+    return diff.table_change_details(s, "r3", "r4")
 
 
 DRAFT = f"(SELECT *, coalesce(to_id, from_id) AS row_id, from_id IS NULL OR to_id IS NULL AS one_sided, (from_id IS NULL OR to_id IS NULL) AND count(*) FILTER (from_id IS NULL OR to_id IS NULL) OVER (PARTITION BY table_created_id, coalesce(to_id, from_id)) = 2 AS replaced FROM {pairs_sql('r5', 'r6')} WHERE change_type IS NOT NULL) AS d"
@@ -157,12 +162,12 @@ DPICK = ", ".join(DRAFT_COLUMNS)
 
 @query("q19_draft_pairs", f"SELECT {DPICK} FROM {DRAFT}")
 def q19(s):
-    return draft.reported_pairs(s, "r5", "r6").select(*DRAFT_COLUMNS)
+    return draft.reported_pairs(s, "r5", "r6", columns=draft.NARROW).select(*DRAFT_COLUMNS)
 
 
 @query("a6_draft_row_counts", f"SELECT table_created_id, count(*) - r AS total, count(*) FILTER (change_type = 'ADDED') - r AS added, count(*) FILTER (change_type = 'REMOVED') - r AS removed, r AS replaced, count(*) FILTER (change_type LIKE 'RENAMED%') AS renamed, count(*) FILTER (change_type LIKE '%MODIFIED') AS modified FROM (SELECT *, (SELECT count(*) / 2 FROM {DRAFT} WHERE replaced)::BIGINT AS r FROM {DRAFT}) AS x GROUP BY table_created_id, r")
 def a6(s):
-    return draft.row_counts(draft.reported_pairs(s, "r5", "r6"))
+    return draft.row_counts(draft.reported_pairs(s, "r5", "r6", columns=draft.NARROW, marked=False))
 
 
 @query("a8_replaced_rows", f"SELECT row_id, max(coalesce(to_updated_at, from_updated_at)) AS replaced_at FROM {DRAFT} WHERE replaced GROUP BY row_id")
@@ -197,7 +202,7 @@ def l9(s):
 
 @query("l8b_draft_page_with_ties", f"SELECT row_created_id FROM (SELECT row_created_id, rank() OVER (ORDER BY row_id) AS n FROM {DRAFT}) AS x WHERE n <= 20")
 def l8b(s):
-    return draft.page_by_ids(draft.reported_pairs(s, "r5", "r6"), 20).select("row_created_id")
+    return draft.page_by_ids(draft.reported_pairs(s, "r5", "r6", columns=draft.NARROW, marked=False), 20).select("row_created_id")
 
 
 @query("q20_companions", f"SELECT row_created_id FROM {DRAFT} WHERE replaced AND change_type = 'REMOVED'")
@@ -220,7 +225,7 @@ def q24(s):
 
 @query("a15_draft_summary", f"SELECT count(DISTINCT table_created_id) AS tables, count(*) - count(*) FILTER (replaced) / 2 AS total_rows FROM {DRAFT}")
 def a15(s):
-    per = draft.row_counts(draft.reported_pairs(s, "r5", "r6"))
+    per = draft.row_counts(draft.reported_pairs(s, "r5", "r6", columns=draft.NARROW, marked=False))
     return per.agg(F.count("*").alias("tables"), F.sum("total").cast("double").alias("total_rows"))
 
 
@@ -267,7 +272,7 @@ def q16(s):
     return history.previous_states(s, "f8", "to").select("version_id", "introduced_seq", "data")
 
 
-@query("q17_integrity", "SELECT false AS draft_in_ancestry, false AS duplicate_table, false AS duplicate_row, false AS reappearing_row")
+@query("q17_integrity", "SELECT false AS cycle, false AS gap, false AS cross_project, false AS draft_in_ancestry, false AS duplicate_table, false AS duplicate_row, false AS reappearing_row")
 def q17(s):
     return history.integrity(s, "f8", "to")
 

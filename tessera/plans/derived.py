@@ -133,17 +133,31 @@ def f12(s):
     return out.select("id", "d.status", "d.customer")
 
 
-@query("a10_table_digest", "SELECT table_version_id, count(*) AS n, md5(string_agg(row_version_id, ',' ORDER BY row_version_id)) AS digest FROM row_table WHERE table_version_id IN ('ot4', 'ct4') GROUP BY 1")
+DIGESTED = ("version_id", "created_id", "id", "hash", "schema_hash", "published_at", "meta")
+LINE = " || '|' || ".join(f"CAST(r.{c} AS VARCHAR)" for c in DIGESTED)
+
+
+@query("a10_table_digest", f"SELECT table_version_id, CAST(sum(n) AS BIGINT) AS n, md5(string_agg(digest, ',' ORDER BY bucket)) AS digest FROM (SELECT k.table_version_id, left(md5(r.version_id), 2) AS bucket, count(*) AS n, md5(string_agg({LINE}, ',' ORDER BY r.version_id)) AS digest FROM {ROWS} WHERE k.table_version_id IN ('ot4', 'ct4') GROUP BY 1, 2) AS b GROUP BY 1")
 def a10(s):
-    rows = s.row_table.filter("table_version_id in ('ot4', 'ct4')")
-    return rows.groupBy("table_version_id").agg(F.count("*").alias("n"), F.md5(F.expr("listagg(row_version_id, ',') WITHIN GROUP (ORDER BY row_version_id)")).alias("digest"))
+    return table_digest(s, ["ot4", "ct4"])
+
+
+def table_digest(s, versions, digits=2):
+    """Count and a digest of each table's rows: rows are dealt to 16^digits buckets by a hash of their version, each bucket
+    is digested in the order of versions, and then the buckets in their order, so that no task gathers a whole table."""
+    links = s.row_table.filter(F.col("table_version_id").isin(versions)).withColumnRenamed("row_version_id", "version_id")
+    rows = s.row_version.select(*DIGESTED).join(links, "version_id")
+    line = F.concat_ws("|", *[F.col(c).cast("string") for c in DIGESTED])
+    per = rows.withColumn("line", line).groupBy("table_version_id", F.left(F.md5("version_id"), F.lit(digits)).alias("bucket"))
+    per = per.agg(F.count("*").alias("n"), F.md5(F.expr("listagg(line, ',') WITHIN GROUP (ORDER BY line)")).alias("digest"))
+    return per.groupBy("table_version_id").agg(F.sum("n").alias("n"), F.md5(F.expr("listagg(digest, ',') WITHIN GROUP (ORDER BY bucket)")).alias("digest"))
 
 
-@query("a10b_commutative_digest", "SELECT table_version_id, count(*) AS n FROM row_table GROUP BY 1")
+@query("a10b_commutative_digest", "SELECT table_version_id, count(*) AS n, bit_xor(('0x' || left(md5(row_version_id), 15))::BIGINT) AS digest, CAST(sum(('0x' || substr(md5(row_version_id), 16, 12))::BIGINT) AS BIGINT) AS total FROM row_table GROUP BY 1")
 def a10b(s):
-    """The digest for large tables: an order-free sum of row hashes, combined before the shuffle; only counts compare."""
-    digest = s.row_table.groupBy("table_version_id").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row_version_id")).alias("digest"))
-    return digest.filter("digest is not null").select("table_version_id", "n")
+    """An order-free digest: hashes of row versions added up and put together by exclusive or, combined before the shuffle."""
+    part = lambda at, n: F.conv(F.substring(F.md5("row_version_id"), at, n), 16, 10).cast("long")
+    return s.row_table.groupBy("table_version_id").agg(F.count("*").alias("n"), F.bit_xor(part(1, 15)).alias("digest"), F.sum(part(16, 12)).alias("total"))
 
 
 @query("a11_schema_hashes", f"SELECT k.table_version_id, r.schema_hash, count(*) AS n FROM {ROWS} GROUP BY 1, 2")
@@ -195,9 +209,9 @@ def q27(spark, sf_dir):
 
 @table_query("v17_register_files", "SELECT r.p AS project_id, r.h AS hash, r.links, CASE WHEN b.id IS NULL THEN 'insert' WHEN b.deleted_at IS NOT NULL THEN 'reactivate' ELSE 'keep' END AS action, CASE WHEN b.id IS NULL THEN r.size WHEN b.deleted_at IS NOT NULL THEN b.size ELSE 0 END AS added_bytes FROM (SELECT 'p' || (doc_id % 5) AS p, md5(text) AS h, count(*) AS links, CAST(min(n_chars) AS BIGINT) AS size FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1, 2) r LEFT JOIN file_blob b ON b.project_id = r.p AND b.hash = r.h")
 def v17(spark, sf_dir):
-    from tessera.sources.store import fixture
+    from tessera.sources.store import opened
 
-    return files.register(fixture(spark, sf_dir), files.references(file_rows(spark, sf_dir)))
+    return files.register(opened(spark, sf_dir), files.references(file_rows(spark, sf_dir)))
 
 
 @query("v19_restore_bytes", "SELECT project_id, coalesce(sum(size), 0)::BIGINT AS file_bytes FROM file_blob WHERE deleted_at IS NULL GROUP BY 1")

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from datetime import UTC, datetime
-
 from pyspark.sql import functions as F
 
-from tessera.functions import views
 from tessera.functions.jsonpath import canonical, foreign_key_paths, schema_type
 from tessera.functions.plugins import published_at
 from tessera.functions.schema import apply_patches
 from tessera.operators import diff, draft, versioning
-from tessera.plans import planner
 from tessera.plans.changes import DRAFT, TABLES
 from tessera.plans.lookups import ROWS
 from tessera.plans.registry import query
@@ -57,39 +52,6 @@ def v12(s):
     return rows_of(after, "ot6").select("id", "version_id", F.get_json_object("data", "$.state").alias("state"))
 
 
-VIEWS = {"version": 1, "defaultViewId": "v1", "views": [{"id": "v1", "name": "All", "columns": [{"field": "data.status"}, {"field": "id"}], "sorts": [{"field": "data.cents", "direction": "asc"}], "filters": {"logic": "and", "conditions": [{"field": "data.priority"}], "groups": [{"logic": "or", "conditions": [{"field": "data.status"}], "groups": []}]}}]}
-
-
-@query("v13_views_migration", "SELECT 'data.state' AS field UNION ALL SELECT 'id' UNION ALL SELECT 'data.state'")
-def v13(s):
-    after = views.migrate(VIEWS, [{"op": "move", "from": "/properties/status", "path": "/properties/state"}, {"op": "remove", "path": "/properties/cents"}, {"op": "replace", "path": "/properties/priority", "value": {"type": "number"}}])
-    return small(s, [(f,) for f in views._fields(after["views"][0])], "field string")
-
-
-@query("v14_views_validation", "SELECT unnest(['v2: id is taken', 'v2: no field data.none', 'the default view is missing']) AS problem")
-def v14(s):
-    bad = {"defaultViewId": "v9", "views": [{"id": "v2"}, {"id": "v2", "columns": [{"field": "data.none"}, {"field": "data.cents"}, {"field": "createdAt"}]}]}
-    return small(s, [(p,) for p in views.problems(bad, ORDERS)], "problem string")
-
-
-@query("v15_apply_migrations", "SELECT unnest(['1', '2', '3']) AS id, unnest(['skipped', 'applied', 'failed']) AS status")
-def v15(s):
-    ledger = [{"id": "1", "changeType": "init", "tableId": "a", "schema": {"type": "object", "properties": {}}}, {"id": "2", "changeType": "update", "tableId": "a", "patches": [{"op": "add", "path": "/properties/x", "value": {"type": "string"}}]}, {"id": "3", "changeType": "rename", "tableId": "none", "nextTableId": "b"}, {"id": "4", "changeType": "remove", "tableId": "a"}]
-    return small(s, planner.apply_migrations(ledger, {"1"}), "id string, status string")
-
-
-@query("v21_next_migration_id", "SELECT '2024-01-05T00:00:00.001Z' AS id")
-def v21(s):
-    return small(s, [(versioning.next_migration_id(datetime(2024, 1, 1, tzinfo=UTC), ["2024-01-05T00:00:00.000Z"], []),)], "id string")
-
-
-@query("v24_abort_migration", "SELECT unnest(['PENDING', 'COPYING', 'SWAPPING', 'COMPLETED']) AS state, unnest([true, true, false, false]) AS can_abort")
-def v24(s):
-    from tessera.streaming.copy import MOVES, STATES
-
-    return small(s, [(x, "CANCELLED" in MOVES.get(x, set())) for x in STATES[:4]], "state string, can_abort boolean")
-
-
 @query("q28_ledger_scan", f"SELECT l.revision_id, count(*) AS entries, count(*) FILTER (contains(r.data, '\"rename\"')) AS renames FROM {ROWS} JOIN revision_table l ON l.table_version_id = k.table_version_id JOIN table_version t ON t.version_id = k.table_version_id WHERE t.id = 'sys_migrations' GROUP BY 1")
 def q28(s):
     tables = s.table_version.filter("id = 'sys_migrations'").select(F.col("version_id").alias("table_version_id"))
@@ -98,35 +60,6 @@ def q28(s):
     return links.join(s.row_version.select("version_id", "data"), "version_id").groupBy("revision_id").agg(F.count("*").alias("entries"), F.count_if(kind == "rename").alias("renames"))
 
 
-@query("g12_structure", "SELECT unnest(['note', 'amount', 'priority', 'cents']) AS path, unnest(['added', 'moved', 'removed', 'changed']) AS kind")
-def g12(s):
-    after = {"type": "object", "properties": {"amount": {"type": "string"}, "cents": {"type": "string"}, "status": {"type": "string"}, "note": {"type": "string"}}}
-    before = {"type": "object", "properties": {"cents": {"type": "number"}, "customer": {"type": "string"}, "priority": {"type": "string"}, "status": {"type": "string"}}}
-    found = planner.structure(before, after, [{"op": "move", "from": "/properties/customer", "path": "/properties/amount"}])
-    return small(s, found, "path string, kind string")
-
-
-@query("g16_ledger_numbers", "SELECT unnest(['2024-01-01T00:00:00.000Z', '2024-02-01T00:00:00.000Z', '2024-02-01T00:00:00.001Z']) AS id, unnest(['1', '2', '3']) AS was")
-def g16(s):
-    made = planner.renumber([("1", "2024-01-01T00:00:00.000Z"), ("2", "2024-02-01T00:00:00.000Z"), ("3", "2024-01-15T00:00:00.000Z")])
-    return small(s, made, "id string, was string")
-
-
-@query("g17_head_schema_check", "SELECT 'customer' AS table_id")
-def g17(s):
-    """Tables whose ledger doesn't give the schema that the head holds."""
-    held = {r["id"]: json.loads(r["data"]) for r in revision_rows(s, "r5", True).filter("table_id = 'sys_schemas'").collect()}  # tables
-    ledger = [{"id": str(i), "changeType": "init", "tableId": t, "schema": held[t] if t != "customer" else {"type": "object", "properties": {}}} for i, t in enumerate(sorted(held))]
-    made = planner.replay(ledger)
-    return small(s, [(t,) for t in sorted(held) if made[t].schema != held[t]], "table_id string")
-
-
-@query("g18_ledger_attribution", "SELECT unnest(['1', '2', '3']) AS id, unnest(['published', 'pending', 'transient']) AS kind")
-def g18(s):
-    ledger = [{"id": "1", "changeType": "init", "tableId": "a"}, {"id": "2", "changeType": "update", "tableId": "a"}, {"id": "3", "changeType": "init", "tableId": "b"}]
-    return small(s, planner.attribute(ledger, {"1"}, {"a"}), "id string, kind string")
-
-
 @query("g19_apply_whole_draft", f"SELECT r.version_id, r.id FROM {ROWS} WHERE k.table_version_id = 'ot6'")
 def g19(s):
     """Applying every unit is the draft's own commit."""

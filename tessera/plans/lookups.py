@@ -78,8 +78,8 @@ def s11(s):
     return scan.table_views(s, "r5", "orders")
 
 
-@query("s12_default_views", f"SELECT '{scan.DEFAULT_VIEWS}' AS views")
-def s12(s):
+@query("s11b_default_views", f"SELECT '{scan.DEFAULT_VIEWS}' AS views")
+def s11b(s):
     return scan.table_views(s, "r5", "clients")
 
 
@@ -138,6 +138,13 @@ def l12(s):
     return history.previous_states(s, "r5", "to", "c3", after=4, first=10).select("version_id", "introduced_seq")
 
 
+@query("l12b_history_cursor", "WITH v AS (SELECT DISTINCT r.version_id, CAST(split_part(r.version_id, '-', 2) AS INT) AS seq FROM row_version r WHERE r.created_id = 'c73'), e AS (SELECT * FROM v WHERE seq < 5) SELECT version_id, seq AS introduced_seq FROM e ORDER BY seq DESC LIMIT 1 OFFSET 2")
+def l12b(s):
+    """The second page of one earlier state, by the cursor of the first."""
+    first = history.row_page(s, "r5", "to", "c73", 1).select("cursor").first()
+    return history.row_page(s, "r5", "to", "c73", 1, first["cursor"]).select("version_id", "introduced_seq")
+
+
 @query("j7_as_of_revision", "SELECT b.branch_id, a.at, (SELECT id FROM revision r WHERE r.branch_id = b.branch_id AND r.sequence <= a.at ORDER BY r.sequence DESC LIMIT 1) AS found_id FROM (SELECT DISTINCT branch_id FROM revision) b CROSS JOIN (SELECT CAST(unnest(range(1, 12)) AS INT) AS at) a WHERE EXISTS (SELECT 1 FROM revision r WHERE r.branch_id = b.branch_id AND r.sequence <= a.at)")
 def j7(s):
     points = s.revision.select("branch_id").distinct().withColumn("at", F.explode(F.array(*[F.lit(i) for i in range(1, 12)])))

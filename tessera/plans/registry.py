@@ -18,7 +18,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[stores.Store
     """Registers f(store) under a name; sql may name the graph's tables and the fixed tables."""
 
     def put(f: Callable[[stores.Store], DataFrame]) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: f(stores.fixture(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(stores.opened(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = with_graph(sql)
         return f

@@ -9,7 +9,7 @@ from tessera.operators.references import renames
 from tessera.plans import planner
 from tessera.plans.changes import DRAFT, FIELDS, SIDE, pairs_sql
 from tessera.plans.lookups import ROWS
-from tessera.plans.registry import query
+from tessera.plans.registry import query, read, table_query
 from tessera.sources.store import rows_of, tables_of
 
 
@@ -26,6 +26,9 @@ def v2(s):
     return versioning.touched_rows(s, "ot6", ids, F.concat("version_id", F.lit("+"))).select("created_id", "version_id", "hash")
 
 
+ORDERS = {"type": "object", "properties": {k: {"type": "number" if k == "cents" else "string"} for k in FIELDS}}
+
+
 def closed(s, data="'{\"closed\":true}'"):
     return versioning.update_rows(s, "ot6", rows_of(s, "ot6").filter("created_at % 3 = 0").select("id", F.expr(data).alias("data")), 77)
 
@@ -88,7 +91,7 @@ def v8b(s):
 
 @query("v9_rename_cascade", f"SELECT o.id, replace(o.data, '\"customer\":\"' || c.a || '\"', '\"customer\":\"' || c.b || '\"') AS data FROM (SELECT r.* FROM {ROWS} WHERE k.table_version_id = 'ot4') o JOIN (SELECT x.id AS a, y.id AS b FROM (SELECT r.* FROM {ROWS} WHERE k.table_version_id = 'ct1') x JOIN (SELECT r.* FROM {ROWS} WHERE k.table_version_id = 'ct4') y USING (created_id) WHERE x.id <> y.id) c ON json_extract_string(o.data, '$.customer') = c.a")
 def v9(s):
-    return versioning.rename_cascade(rows_of(s, "ot4"), "customer", renames(rows_of(s, "ct1"), rows_of(s, "ct4")))
+    return versioning.rename_cascade(rows_of(s, "ot4"), ORDERS, "customer", renames(rows_of(s, "ct1"), rows_of(s, "ct4")))
 
 
 @query("v11_removal_guard", f"SELECT json_extract_string(r.data, '$.customer') AS target, count(*) AS n FROM {ROWS} WHERE k.table_version_id = 'ot4' AND json_extract_string(r.data, '$.customer') IN ('customer-4-r', 'customer-6', 'customer-7') GROUP BY 1")
@@ -120,23 +123,16 @@ def g1(s):
     return units(s).select("table_created_id", "row", "kind", "path")
 
 
+@query("a6b_rows_with_units", f"SELECT table_created_id, count(DISTINCT row) AS rows_with_units, count(*) > 0 AS has_row_units FROM ({UNITS}) AS u GROUP BY 1")
+def a6b(s):
+    return draft.unit_counts(units(s))
+
+
 @query("g2_selection", f"SELECT row, kind FROM ({UNITS}) AS u WHERE kind IN ('field', 'rowDelete') AND row <> 'c5'")
 def g2(s):
     return planner.select(units(s), [{"kind": "field"}, {"kind": "rowDelete"}], [{"row": "c5"}]).select("row", "kind")
 
 
-@query("g3_scope", "SELECT unnest(['clients', 'nation', 'orders', 'supplier']) AS table_id")
-def g3(s):
-    links = [(r["table_id"], r["target_id"]) for r in s.schema_fk.filter("table_id <> 'customer' and target_id <> 'customer'").collect()]  # tables
-    return s.branch.sparkSession.createDataFrame([(t,) for t in sorted(planner.scope(links, {"orders"}))], "table_id string")
-
-
-@query("g4_closure", "SELECT unnest(['a', 'b', 'c']) AS key, unnest([false, false, true]) AS blocks")
-def g4(s):
-    seen, blocked = planner.closure({"a"}, {"a": {"b"}, "b": {"c"}, "x": {"y"}}, {"c"})
-    return s.branch.sparkSession.createDataFrame([(k, k in blocked) for k in sorted(seen)], "key string, blocks boolean")
-
-
 @query("g5_id_collisions", f"SELECT row_id AS id, 2::BIGINT AS n FROM {DRAFT} WHERE replaced GROUP BY 1")
 def g5(s):
     pairs = draft.reported_pairs(s, "r5", "r6")
@@ -162,6 +158,64 @@ def g7(s):
     return planner.merged(draft.reported_pairs(s, "r5", "r6"), planner.select(units(s), [{"path": "cents"}]), ["cents", "status"])
 
 
+MERGED = f"SELECT row_created_id, '{{\"cents\":' || json_extract_string(to_data, '$.cents') || ',\"customer\":\"' || json_extract_string(from_data, '$.customer') || '\",\"priority\":\"' || json_extract_string(from_data, '$.priority') || '\",\"status\":\"' || json_extract_string(from_data, '$.status') || '\"}}' AS data FROM {DRAFT} WHERE NOT one_sided"
+
+
+@query("g7b_merged_documents", f"SELECT *, md5(data) AS hash FROM ({MERGED}) AS m")
+def g7b(s):
+    return planner.merged_documents(draft.reported_pairs(s, "r5", "r6"), planner.select(units(s), [{"path": "cents"}]), ORDERS)
+
+
+@query("g6c_moved_rows", OUTCOMES.replace("WHEN bool_and(a) THEN 'otherSide'", "WHEN bool_and(a) AND bool_or(kind = 'rowCreate') THEN 'move'").replace("'field', 'rowDelete'", "'field', 'rowDelete', 'rowReplace', 'rowCreate'"))
+def g6c(s):
+    """With another structure on the draft's side, whole new rows are moved, and whole changed ones merged."""
+    u = units(s)
+    return planner.row_outcomes(u, u, u.select("table_created_id"))
+
+
+@query("g19b_partial_commit", f"SELECT r.created_id, CASE WHEN d.change_type = 'MODIFIED' THEN d.to_data ELSE r.data END AS data FROM {ROWS} LEFT JOIN {DRAFT} ON d.row_created_id = r.created_id AND d.from_id IS NOT NULL WHERE k.table_version_id = 'ot4' AND (d.change_type IS NULL OR d.change_type <> 'REMOVED' OR d.replaced)")
+def g19b(s):
+    """Changed amounts and removed rows are committed, replaced rows are not: the new head's table."""
+    after = planner.apply_partial(s, "b1", planner.select(units(s), [{"kind": ["field", "rowDelete"]}]), ORDERS, "r7", 79)
+    version = tables_of(after, "r7").filter("created_id = 'to'").select("version_id").first()[0]
+    return rows_of(after, version).select("created_id", "data")
+
+
+@query("g13b_target_problems", f"SELECT 'row' AS kind, 'status: not in the list' AS detail, count(*) AS n FROM {ROWS} WHERE k.table_version_id = 'ot6' AND json_extract_string(r.data, '$.status') = 'P' UNION ALL SELECT 'reference', json_extract_string(r.data, '$.customer'), count(*) FROM {ROWS} WHERE k.table_version_id = 'ot6' AND json_extract_string(r.data, '$.customer') NOT IN (SELECT id FROM ({SIDE}'r6' AND t.created_id = 'tc') AS c) GROUP BY 2")
+def g13b(s):
+    schema = {"type": "object", "properties": ORDERS["properties"] | {"status": {"type": "string", "enum": ["F", "O"]}}}
+    return planner.target_problems(s, "r6", "orders", schema, {"customer": "clients"}).filter("n > 0")
+
+
+@query("g5b_table_collisions", "SELECT id, count(*) AS n FROM (SELECT DISTINCT t.created_id, t.id FROM table_version t JOIN revision_table l ON l.table_version_id = t.version_id UNION SELECT 'x' || created_id, id FROM table_version WHERE created_id < 'tg') AS x GROUP BY id HAVING count(*) > 1")
+def g5b(s):
+    linked = s.table_version.join(s.revision_table.select(F.col("table_version_id").alias("version_id")), "version_id", "left_semi").select("created_id", "id")
+    return planner.table_id_collisions(linked.unionByName(s.table_version.filter("created_id < 'tg'").select(F.concat(F.lit("x"), "created_id").alias("created_id"), "id")))
+
+
+@query("g3_scope", "WITH RECURSIVE e AS (SELECT table_id AS a, target_id AS b FROM schema_fk WHERE table_id <> 'supplier' UNION SELECT target_id, table_id FROM schema_fk WHERE table_id <> 'supplier'), seen(key) AS (SELECT 'orders' UNION SELECT e.b FROM e JOIN seen ON e.a = seen.key) SELECT key FROM seen")
+def g3(s):
+    links = s.schema_fk.filter("table_id <> 'supplier'").select(F.col("table_id").alias("a"), F.col("target_id").alias("b"))
+    return planner.scope(links, s.branch.sparkSession.createDataFrame([("orders",)], "key string"))
+
+
+@table_query("g4_closure", "WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey * 3 AS b FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT p_partkey, p_partkey - 7 FROM part WHERE p_partkey % 4 = 1 AND p_partkey > 7), seen(key) AS (SELECT p_partkey FROM part WHERE p_partkey % 41 = 2 UNION SELECT e.b FROM e JOIN seen ON e.a = seen.key) SELECT key, key % 3 = 0 AND key % 2 = 0 AS blocks FROM seen")
+def g4(spark, sf_dir):
+    """Closure over edges by a rule: parts require their threefold or a smaller one; some are excluded and block."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"))
+    edges = p.filter("key % 5 <> 0").select("key", (F.col("key") * 3).alias("requires")).unionByName(p.filter("key % 4 = 1 and key > 7").select("key", (F.col("key") - 7).alias("requires")))
+    excluded = edges.select(F.col("requires").alias("key")).unionByName(p).distinct().filter("key % 6 = 0")
+    return planner.closure(p.filter("key % 41 = 2"), edges, excluded)
+
+
+@table_query("g9_status", "SELECT k, CASE WHEN k % 11 = 10 THEN 'blocked' WHEN k % 4 = 0 AND k % 7 <> 3 THEN 'empty' WHEN k % 3 = 1 AND k % 2 = 0 THEN 'stale' WHEN k % 7 = 3 THEN 'blocked' WHEN k % 5 = 2 AND k % 8 < 4 THEN 'required' ELSE 'ready' END AS status FROM (SELECT p_partkey AS k FROM part) AS p")
+def g9(spark, sf_dir):
+    k = F.col("k")
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    expected = F.when(k % 2 == 0, F.lit("a"))
+    return p.select("k", planner.status(k % 11 != 10, k % 4, (k % 5 == 2).cast("int"), (k % 7 == 3).cast("int"), k % 8 >= 4, expected, F.when(k % 3 == 1, "b").otherwise("a")).alias("status"))
+
+
 @query("g8_fingerprint", "SELECT true AS same, false AS other")
 def g8(s):
     u = units(s)
@@ -169,12 +223,6 @@ def g8(s):
     return s.branch.sparkSession.createDataFrame([(a == b, a == c)], "same boolean, other boolean")
 
 
-@query("g9_status", "SELECT unnest(['unplanned', 'nothing', 'stale', 'blocked', 'required', 'ready']) AS k, unnest(['blocked', 'empty', 'stale', 'blocked', 'required', 'ready']) AS status")
-def g9(s):
-    made = [("unplanned", planner.status(False, 1, 0, 0, True)), ("nothing", planner.status(True, 0, 0, 0, True)), ("stale", planner.status(True, 1, 0, 1, True, "a", "b")), ("blocked", planner.status(True, 1, 1, 1, False)), ("required", planner.status(True, 1, 1, 0, False)), ("ready", planner.status(True, 1, 1, 0, True))]
-    return s.branch.sparkSession.createDataFrame(made, "k string, status string")
-
-
 @query("g10_estimate", f"SELECT table_created_id, count(*) AS changed_rows, count(*) FILTER (outcome = 'merge') AS per_row_work FROM ({OUTCOMES}) AS o GROUP BY 1")
 def g10(s):
     links = tables_of(s, "r5").select(F.col("version_id").alias("table_version_id"), F.col("created_id").alias("table_created_id"))
@@ -194,20 +242,6 @@ def g13(s):
     return dangling(rows_of(s, "ot6"), [["customer"]], rows_of(s, "ct4")).select("target", "n")
 
 
-@query("g14_ledger_replay", "SELECT unnest(['clients', 'orders']) AS name, unnest([2, 1]) AS n_names, unnest(['name', 'customer,priority']) AS fields, unnest([0, 1]) AS problems")
-def g14(s):
-    ledger = [
-        {"id": "1", "changeType": "init", "tableId": "orders", "schema": {"type": "object", "properties": {"customer": {"type": "string", "foreignKey": "customer"}}}},
-        {"id": "2", "changeType": "init", "tableId": "customer", "schema": {"type": "object", "properties": {"name": {"type": "string"}}}},
-        {"id": "3", "changeType": "update", "tableId": "orders", "patches": [{"op": "add", "path": "/properties/priority", "value": {"type": "string"}}]},
-        {"id": "4", "changeType": "rename", "tableId": "customer", "nextTableId": "clients"},
-        {"id": "5", "changeType": "update", "tableId": "orders", "patches": [{"op": "remove", "path": "/properties/none"}]},
-    ]
-    slots = planner.replay(ledger)
-    rows = [(n, len(x.names), ",".join(x.schema["properties"]), len(x.problems)) for n, x in sorted(slots.items())]
-    return s.branch.sparkSession.createDataFrame(rows, "name string, n_names int, fields string, problems int")
-
-
 @query("l14_backfill_order", "SELECT unnest(['nation', 'clients', 'customer', 'orders', 'supplier']) AS table_id, unnest([0, 1, 2, 3, 4]) AS place")
 def l14(s):
     refs: dict[str, set[str]] = {"nation": set()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +47,26 @@ def write(store: Store, path: str, mode: str = "errorifexists") -> None:
         df.write.mode(mode).parquet(f"{path}/{f.name}")
 
 
+#: Names a folder with a written store; without it, the graph of the fixed tables is built as it is read.
+STORE_DIR = "tessera.store.dir"
+
+
+def opened(spark: SparkSession, sf_dir: str) -> Store:
+    """The written store that the session names, or else the graph over a folder of the fixed tables."""
+    path = spark.conf.get(STORE_DIR, None)
+    return read(spark, path) if path else fixture(spark, sf_dir)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; where none is set and Spark is local (tests), one on this machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def fixture(spark: SparkSession, sf_dir: str) -> Store:
     """The graph of `tessera.sources.graph`, lazily, over a folder of the fixed tables."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "part", "supplier", "events", "documents")}

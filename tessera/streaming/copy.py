@@ -18,9 +18,9 @@ def move(state: str, to: str) -> str:
     return to
 
 
-def copy_rows(spark: SparkSession, source: str, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], files_per_batch: int = 8) -> None:
+def copy_rows(spark: SparkSession, source: str, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], files_per_batch: int = 8, pattern: str = "*.parquet") -> None:
     """Every file of a Parquet folder through a transform into another, in batches that resume where the last run ended."""
-    schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(source).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).parquet(source)
     out = transform(stream).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True)
     out.start(target).awaitTermination()
