@@ -206,3 +206,14 @@ def drop_passages(docs: DataFrame, keep: list[str] | None = None, window: int =
                 yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(texts)] if with_text else [])], names=[f.name for f in out])
 
     return rows.mapInArrow(run, StructType(out))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM d),
+g AS (SELECT doc_id, i, array_to_string(ws[i : i + 49], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d) AS x),
+f AS (SELECT s, min(doc_id) AS m FROM g GROUP BY s HAVING min(doc_id) < max(doc_id)),
+cut AS (SELECT DISTINCT doc_id, unnest(range(g.i, g.i + 50)) AS i FROM g JOIN f USING (s) WHERE m < doc_id),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(a, ' ' ORDER BY i) AS t FROM p ANTI JOIN cut USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""

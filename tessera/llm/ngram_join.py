@@ -8,7 +8,8 @@ signature, and such sets share one.
 
 Sets with the same elements count as one. Signatures of a single set are dropped by an aggregate. In the groups that are
 left, parity sketches (whose distance never exceeds that of the sets) rule out nearly all false pairs, and a group
-passes on a spanning forest of what is left rather than its pairs. The forest's edges are verified exactly. Groups with a
+passes on a spanning forest of what is left rather than its pairs; large groups are first compared with one of their
+members (`split_groups`). The forest's edges are verified exactly. Groups with a
 refuted edge whose ends no verified links connect are done again: now each passes on all its possible pairs whose ends
 aren't connected, few as they are, and these are verified too. Then every link joins sets that verified links connect.
 """
@@ -37,8 +38,8 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 RATIO, TOP = (5, 4), 1 << 31
 #: Bits of a sketch for each element of a band's largest set.
 SKETCH_BITS = 4
-#: Larger groups are cut into chunks of this many members, each pair of chunks a group.
-CHUNK = 2048
+#: Larger groups are cut into chunks of this many members (`split_groups`).
+CHUNK = 512
 
 
 @dataclass(frozen=True)
@@ -311,6 +312,28 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "set_id long, elements binary").dropDuplicates(["set_id"])
 
 
+def split_groups(work: Work, big: DataFrame, sets: DataFrame, like: Likeness, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Groups (sig, set_id, band, chunks) with more members than a task should compare, cut up: rows for `candidate_edges`,
+    and verified edges (a, b, linked) to each group's pivot, one of its members.
+
+    Members that link to the pivot are connected, and needn't be compared among themselves. Each of the others meets all
+    members: they are cut into chunks, the members into chunks, and every two chunks form a group. Where near copies share
+    a signature, few are left over, so rows grow with members, not with their square.
+    """
+    pivot = work.write(big.groupBy("sig").agg(F.min(F.struct(F.xxhash64("set_id").alias("h"), "set_id")).alias("p")).select("sig", F.col("p.set_id").alias("pivot")), "pivot")
+    near = big.join(pivot, "sig").filter("set_id <> pivot").select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")).distinct()
+    near = work.write(verify(near, sets, like), "near")
+    both = big.join(pivot, "sig").withColumns({"a": F.least("set_id", "pivot"), "b": F.greatest("set_id", "pivot")}).join(near, ["a", "b"], "left")
+    both = work.write(both.select("sig", "set_id", "band", "chunks", "pivot", (F.coalesce("linked", F.lit(False)) | (F.col("set_id") == F.col("pivot"))).alias("inside")), "inside")
+    left = work.write(both.filter("not inside").groupBy("sig").agg(F.ceil(F.count("*") / chunk).cast("int").alias("rests")), "rests")
+    both = both.join(left, "sig").withColumn("label", F.when(F.col("inside"), F.col("pivot")).otherwise(F.col("set_id")))
+    h = F.xxhash64("set_id")
+    every = both.withColumns({"c1": F.explode(F.sequence(F.lit(0), F.col("rests") - 1)), "c2": F.pmod(h, "chunks").cast("int")})
+    rest = both.filter("not inside").withColumns({"c1": F.pmod(h, "rests").cast("int"), "c2": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))})
+    columns = ["sig", "set_id", "band", "c1", "c2", "label"]
+    return every.select(*columns).unionByName(rest.select(*columns)).distinct(), near
+
+
 def join(docs: DataFrame, chunk: int = CHUNK, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
@@ -333,38 +356,50 @@ def join(docs: DataFrame, chunk: int = CHUNK, shingle: int = SHINGLE, percent: i
         ids = members.select("set_id", "band").distinct()
         by_band = rows.select("set_id", F.col("n_shingles").alias("n"), F.explode("sketches").alias("s")).select("set_id", "n", "s.band", "s.sketch")
         sketched = work.write(by_band.dropDuplicates(["set_id", "band"]).join(ids, ["set_id", "band"], "left_semi"), "sketches")
-        large = members.groupBy("sig").agg(F.count("*").alias("c")).filter(F.col("c") > chunk)
-        large = work.write(large.select("sig", F.ceil(F.col("c") / chunk).cast("int").alias("chunks")), "large")
-        if large.isEmpty():
-            members = members.withColumns({"c1": F.lit(0), "c2": F.lit(0)})
-        else:
-            mine = F.pmod("set_id", "chunks").cast("int")
-            members = members.join(large, "sig", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-            members = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("sig", "band", "set_id", F.least(mine, "o").alias("c1"), F.greatest(mine, "o").alias("c2"))
         chosen = rows.groupBy("set_id").agg(F.min("doc_id").alias("of_doc")).join(members.select("set_id").distinct(), "set_id", "left_semi")
         sets = work.write(whole_sets(docs, chosen.select("of_doc").distinct(), shingle), "elements")
+        large = members.groupBy("sig").agg(F.count("*").alias("c")).filter(F.col("c") > chunk)
+        large = work.write(large.select("sig", F.ceil(F.col("c") / chunk).cast("int").alias("chunks")), "large")
+        members, pivots = members.withColumns({"c1": F.lit(0), "c2": F.lit(0), "label": F.col("set_id")}), None
+        if not large.isEmpty():
+            whole, pivots = split_groups(work, members.select("sig", "set_id", "band").join(large, "sig"), sets, like, chunk)
+            members = work.write(members.join(large.select("sig"), "sig", "left_anti").unionByName(whole), "split")
+
         def verified(groups: DataFrame, name: str, every: bool) -> DataFrame:
             edges = candidate_edges(groups.join(sketched, ["set_id", "band"]), parts, every, like)
             if every:
                 edges = edges.join(checked.select("a", "b"), ["a", "b"], "left_anti")
             return work.write(verify(work.write(edges, f"edges_{name}"), sets, like), f"checked_{name}")
 
-        checked = verified(members.withColumn("label", F.col("set_id")), "forest", False)
+        forest = verified(members, "forest", False)
+        checked = forest if pivots is None else forest.unionByName(pivots)
         roots = components(work, checked.filter("linked").select("a", "b"), "stars_forest_")
         label = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-        apart = checked.filter("not linked").join(label("a"), "a", "left").join(label("b"), "b", "left")
+        apart = forest.filter("not linked").join(label("a"), "a", "left").join(label("b"), "b", "left")
         apart = work.write(apart.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "apart")
         if not apart.isEmpty():
             mine = lambda c: members.select("sig", "c1", "c2", F.col("set_id").alias(c))
             again = apart.join(mine("a"), "a").join(mine("b"), ["sig", "c1", "c2", "b"]).select("sig", "c1", "c2").distinct()
-            groups = members.join(again, ["sig", "c1", "c2"], "left_semi").join(label("set_id"), "set_id", "left")
+            groups = members.drop("label").join(again, ["sig", "c1", "c2"], "left_semi").join(label("set_id"), "set_id", "left")
             more = verified(groups.withColumn("label", F.coalesce("set_id_root", "set_id")), "crossing", True)
             if not more.filter("linked").isEmpty():
                 links = checked.unionByName(more).filter("linked").select("a", "b")
                 roots = components(work, links, "stars_all_")
-        work.drop("members", "sketches", "elements")
+        work.drop("members", "split", "sketches", "elements")
     result = rows.drop("sketches")
     result = result.withColumn("root", F.col("set_id")) if roots is None else result.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     # written before it is joined, so that Spark can split a root with many documents
     first = work.write(result.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     return result.join(first, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i : i + 2], ' ')) END) AS x FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+          GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(na.n) + any_value(nb.n) - count(*))),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN least USING (doc_id)
+"""

@@ -165,3 +165,29 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", keep: list[
     counts = with_verdict(counts, fit_cutoffs(counts, labels, **options))
     failed = base_failed()
     return counts.select("doc_id", *COUNTS[:5], failed.alias("base_failed"), (~failed & F.col("passes")).alias("kept"), *COUNTS[5:], *[F.col("own").getField(c).alias(c) for c in keep])
+
+
+#: The same rows elsewhere; exact binomial sums are taken over logarithms of factorials.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+p AS (SELECT rid, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT rid, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM p WINDOW o AS (PARTITION BY rid ORDER BY i)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM g WHERE c IS NOT NULL) AS x WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM twice) AS x GROUP BY rid),
+n AS (SELECT d.rid, doc_id, lang, t, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+      len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS n_letters
+      FROM d JOIN w USING (rid) LEFT JOIN covered USING (rid)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM n),
+rule AS (@rules),
+good AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+held AS (SELECT * FROM (SELECT lang, t, min(good.quality) AS quality, any_value(f) AS f FROM f JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY lang, t) AS x WHERE quality = 1),
+tried AS (SELECT h.lang, r.rule, r.place, r.cut, count(*) AS n, count(*) FILTER (@score > r.cut) AS k FROM (SELECT lang, unnest(f) FROM held) AS h (lang, @columns) CROSS JOIN rule r GROUP BY ALL),
+sure AS (SELECT *, CASE WHEN k >= n THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) END <= 0.05 / ((SELECT count(DISTINCT coalesce(lang, '?')) FROM held) * (SELECT count(*) FROM rule)) AS ok FROM tried),
+cuts AS (SELECT lang, rule, arg_min(cut, place) AS cut FROM sure WHERE ok GROUP BY lang, rule),
+bad AS (SELECT DISTINCT h.rid FROM f h JOIN cuts r ON h.lang IS NOT DISTINCT FROM r.lang WHERE @score > r.cut)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept, n_lines, n_upper, n_letters FROM f
+"""
+SQL = SQL.replace("@rules", " UNION ALL ".join(f"SELECT '{rule}' AS rule, {i} AS place, {cut} AS cut" for rule, (_, cuts) in RULES.items() for i, cut in enumerate(cuts)))
+SQL = SQL.replace("(SELECT lang, unnest(f) FROM held) AS h (lang, @columns)", "(SELECT lang, " + ", ".join(f"f.{c} AS {c}" for c in COUNTS) + " FROM held) AS h")
+SQL = SQL.replace("@score", "CASE r.rule " + " ".join(f"WHEN '{rule}' THEN {score}" for rule, (score, _) in RULES.items()) + " END")

@@ -80,6 +80,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tessera.llm import decontaminate
+    from tessera.llm import decontaminate, fm_dedup, ngram_join, quality
 
-    return {"op1_decontamination": decontaminate.SQL}
+    return {"op1_decontamination": decontaminate.SQL, "op2_quality_rules": quality.SQL, "op4_substring_dedup": fm_dedup.SQL, "op5_ngram_jaccard_join": ngram_join.SQL}
