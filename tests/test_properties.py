@@ -1,11 +1,15 @@
 """Laws that differences, pages, formulas and plans keep."""
 
+import base64
+import hashlib
+import json
+
 import pytest
 
 from tessera.functions import formula, paging
 from tessera.functions.schema import patched, violations
 from tessera.functions.search import search_column
-from tessera.operators import diff, draft, history, versioning
+from tessera.operators import diff, draft, history, tables, versioning
 from tessera.plans import planner
 from tessera.sources import store as stores
 
@@ -154,6 +158,10 @@ def test_ledger_taint():
     assert slots["x"].problems == ["1: x doesn't exist"]
 
 
+def test_linear_order_of_nothing():
+    assert planner.linear_order({}) == []
+
+
 def test_linear_order_refuses_forks():
     with pytest.raises(ValueError):
         planner.linear_order({"a": None, "b": "a", "c": "a"})
@@ -170,3 +178,109 @@ def test_resumable_copy(spark, tmp_path):
     assert move("COPYING", "SWAPPING") == "SWAPPING"
     with pytest.raises(ValueError):
         move("SWAPPING", "CANCELLED")
+
+
+ORDERS = {"type": "object", "properties": {"cents": {"type": "number"}, "customer": {"type": "string"}, "priority": {"type": "string"}, "status": {"type": "string"}}}
+
+
+def test_references_follow_renames_at_their_path_only(spark):
+    schema = {"type": "object", "properties": {"a": {"type": "object", "properties": {"c": {"type": "string"}, "n": {"type": "number"}}}, "l": {"type": "array", "items": {"type": "object", "properties": {"c": {"type": "string"}, "k": {"type": "string"}}}}, "c": {"type": "string"}}}
+    rows = spark.createDataFrame([("v1", "r1", '{"a": {"c": "x\\"1", "n": 1.50}, "l": [{"c": "x\\"1", "k": "x"}, {"c": "y"}], "c": "x\\"1"}'), ("v2", "r2", '{"c":"y"}')], "version_id string, id string, data string")
+    pairs = spark.createDataFrame([('x"1', "z")], "old_id string, new_id string")
+    at = lambda path: [(r.id, json.loads(r.data)) for r in versioning.rename_cascade(rows, schema, path, pairs).collect()]
+    assert at("a.c") == [("r1", {"a": {"c": "z", "n": 1.5}, "l": [{"c": 'x"1', "k": "x"}, {"c": "y"}], "c": 'x"1'})]
+    assert at("l.*.c") == [("r1", {"a": {"c": 'x"1', "n": 1.5}, "l": [{"c": "z", "k": "x"}, {"c": "y"}], "c": 'x"1'})]
+    assert at(["c"]) == [("r1", {"a": {"c": 'x"1', "n": 1.5}, "l": [{"c": 'x"1', "k": "x"}, {"c": "y"}], "c": "z"})]
+
+
+def test_what_brings_a_reference_requires_the_row(spark):
+    rows = [
+        ("tc", "c1", "new", None, "new", None, '{"name":"n"}', True, False, None, 1), ("to", "o1", "made", None, "made", None, '{"customer":"new"}', True, False, None, 1),
+        ("to", "o2", "old", "old", "old", '{"customer":"a"}', '{"customer":"new"}', False, False, 1, 1), ("to", "o3", "old3", "old3", "old3", '{"customer":"b"}', '{"customer":"a"}', False, False, 1, 1),
+    ]
+    pairs = spark.createDataFrame(rows, "table_created_id string, row_created_id string, row_id string, from_id string, to_id string, from_data string, to_data string, one_sided boolean, replaced boolean, from_published_at long, to_published_at long")
+    units = planner.row_units(pairs, ["customer"])
+    edges = planner.required_rows(units, pairs, "customer", "tc")
+    assert {tuple(r) for r in edges.collect()} == {("to/rowCreate/o1/", "tc/rowCreate/c1/"), ("to/field/o2/customer", "tc/rowCreate/c1/")}
+    chosen = planner.closure(units.filter("row = 'o2'"), edges, units.filter("row = 'c1'"))
+    assert {tuple(r) for r in chosen.collect()} == {("to/field/o2/customer", False), ("tc/rowCreate/c1/", True)}
+    assert planner.closure(units.limit(0), edges).count() == 0
+
+
+def test_partial_commits_of_all_and_of_nothing(graph):
+    units = planner.row_units(draft.reported_pairs(graph, "r5", "r6"), list(ORDERS["properties"]))
+    content = lambda s, r: {tuple(x) for x in stores.revision_rows(s, r).select("table_created_id", "created_id", "id", "hash").collect()}
+    whole = planner.apply_partial(graph, "b1", units, ORDERS, "r7", 90)
+    assert content(whole, "r7") == content(graph, "r6")
+    assert [r["id"] for r in whole.revision.filter("branch_id = 'b1' and is_head").collect()] == ["r7"]
+    assert diff.row_changes(whole, "r7", "r6").isEmpty()
+    assert content(planner.apply_partial(graph, "b1", units.limit(0), ORDERS, "r7", 90), "r7") == content(graph, "r5")
+
+
+def test_integrity_flags(graph):
+    from pyspark.sql import functions as F
+
+    flags = lambda s: {k for k, v in history.integrity(s, "f8", "to").first().asDict().items() if v}
+    assert flags(graph) == set()
+    assert "gap" in flags(graph.but(revision=graph.revision.filter("id <> 'f7'")))
+    assert "cycle" in flags(graph.but(revision=graph.revision.withColumn("parent_id", F.when(F.col("id") == "r1", "f8").otherwise(F.col("parent_id")))))
+    assert flags(graph.but(branch=graph.branch.withColumn("project_id", F.when(F.col("id") == "b1", "p9").otherwise(F.col("project_id"))))) == {"cross_project"}
+    assert "draft_in_ancestry" in flags(graph.but(revision=graph.revision.withColumn("is_draft", F.col("is_draft") | (F.col("id") == "r2"))))
+    with pytest.raises(history.HistoryError):
+        history.assert_integrity(graph.but(revision=graph.revision.filter("id <> 'f7'")), "f8", "to")
+
+
+def test_history_cursors_are_bound(graph):
+    cursor = history.row_page(graph, "r5", "to", "c73", 1).first()["cursor"]
+    assert history.row_page(graph, "r5", "to", "c73", 5, cursor).filter("introduced_seq >= 5").isEmpty()
+    for other in (("r6", "to", "c73"), ("r5", "tc", "c73"), ("r5", "to", "c3")):
+        with pytest.raises(ValueError):
+            history.row_page(graph, *other, 1, cursor)
+    with pytest.raises(ValueError):
+        history.row_page(graph, "r5", "to", "c73", 101)
+
+
+def test_value_token(spark):
+    from pyspark.sql import functions as F
+
+    got = spark.range(1).select(draft.token(F.lit("häl")).alias("t")).first()[0]
+    assert got == base64.urlsafe_b64encode(hashlib.sha256("häl".encode()).digest()).decode().rstrip("=")
+
+
+def test_lifecycle_refusals(graph):
+    schema = {"type": "object", "properties": {}}
+    for act in (
+        lambda: tables.create_table(graph, "r5", "new", schema, 1), lambda: tables.create_table(graph, "r6", "orders", schema, 1), lambda: tables.create_table(graph, "r6", "1st", schema, 1),
+        lambda: tables.create_table(graph, "r6", "new", {"type": "object", "properties": {"a-b": {"type": "string"}}}, 1), lambda: tables.rename_table(graph, "r6", "orders", "clients", 1), lambda: tables.rename_table(graph, "r6", "none", "other", 1),
+        lambda: tables.update_table(graph, "r6", "sys_schemas", [], 1), lambda: tables.put_views(graph, "r6", "orders", {"defaultViewId": "x", "views": []}, schema, 1),
+    ):
+        with pytest.raises(versioning.Refused):
+            act()
+
+
+def test_a_created_table_takes_rows_and_is_committed(graph):
+    from tessera.operators.scan import insert_rows
+
+    after = tables.create_table(graph, "r6", "notes", {"type": "object", "properties": {"t": {"type": "string"}}}, 5)
+    rows = graph.row_version.filter("version_id = 'zs-orders'")
+    from pyspark.sql import functions as F
+
+    after = insert_rows(after, rows.withColumns({"version_id": F.lit("n1"), "id": F.lit("n1"), "created_id": F.lit("cn1"), "readonly": F.lit(False)}), stores.table_at(after, "r6", "notes"))
+    done = versioning.commit(after, "b1", "r10")
+    changes = diff.row_changes(done, "r5", "r6").filter("to_id = 'n1'").collect()
+    assert [r["change_type"] for r in changes] == ["ADDED"] and tables.schema_of(done, "r10", "notes")[1][0]["patches"][0]["op"] == "add"
+
+
+def test_copies_under_leases(spark):
+    from tessera.streaming import control
+
+    rows = [("a", "r", "t", "SWAPPING", 1, 2, "w1", 10, 1, None), ("b", "r", "u", "PENDING", 0, 2, None, None, 2, None), ("c", "r", "v", "COPYING", 1, 2, "w2", 10, 3, None)]
+    table = spark.createDataFrame(rows, control.SCHEMA)
+    state = lambda df: {r["id"]: (r["status"], r["owner"]) for r in df.collect()}
+    late = control.recover(table, 1000, 100)
+    assert state(late) == {"a": ("SWAPPING", None), "b": ("PENDING", None), "c": ("CANCELLED", None)}
+    assert state(control.claim(late, "w3", 1000))["a"] == ("SWAPPING", "w3")
+    assert state(control.claim(table, "w1", 1000)) == state(table)
+    assert control.beat(table, "w2", 50, 2).filter("id = 'c'").first()["copied_rows"] == 2
+    with pytest.raises(ValueError):
+        control.abort(table, "a")
