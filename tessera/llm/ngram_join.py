@@ -6,7 +6,8 @@ most k = 2u (100 - p) / (100 + p) elements (2u/19 for 90). The feature domain is
 each part into three pieces, so two of the three agree: for each part, each of the three pairs of pieces gives a
 signature, and such sets share one.
 
-Sets with the same elements count as one. Signatures of a single set are dropped by an aggregate. In the groups that are
+Sets with the same elements count as one. Signatures are packed by ranges, and each range is sorted in one place: those of
+a single set are dropped, and those with the same sets become one group. In the groups that are
 left, parity sketches (whose distance never exceeds that of the sets) rule out nearly all false pairs, and a group
 passes on a spanning forest of what is left rather than its pairs; large groups are first compared with one of their
 members (`split_groups`). The forest's edges are verified exactly. Groups with a
@@ -31,6 +32,9 @@ from tessera.llm.components import components
 
 #: Words in a shingle, and the least similarity in percent, unless asked otherwise.
 SHINGLE, PERCENT = 3, 90
+#: Signatures in a packed part, those that a task packs at a time, those that a bucket should hold, and those that it is
+#: sorted with at most.
+PACK, PACKED_AT_ONCE, BUCKET_AIM, BUCKET_ROWS = 256, 1 << 20, 300_000, 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 #: Band ratio as a fraction (similar sets lie in one band or in neighbours if it is 100 / PERCENT at least), and the
@@ -192,7 +196,7 @@ def set_rows(docs: DataFrame, shingle: int, like: Likeness) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, "text", CHUNK_BYTES):
+            for part in slices(b, "text", CHUNK_BYTES // 4):
                 sets, ends = shingle_sets(part.column("text"), shingle)
                 rows, bands = signers(like, np.diff(ends))
                 order = np.argsort(rows, kind="stable")
@@ -206,22 +210,105 @@ def set_rows(docs: DataFrame, shingle: int, like: Likeness) -> DataFrame:
     return text.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", sketches array<struct<band:short,sketch:binary>>")
 
 
-def signature_rows(docs: DataFrame, shingle: int, like: Likeness) -> DataFrame:
-    """sig, set_id, band of every document's signatures; equal sets that meet in a batch sign once."""
+SIGNED = np.dtype([("sig", "<i8"), ("set_id", "<i8"), ("band", "<i2")])
+
+
+def signature_parts(docs: DataFrame, shingle: int, like: Likeness, buckets: int) -> DataFrame:
+    """bucket, part: signatures with their set and band, packed by ranges of signatures (SIGNED, up to PACK in a part).
+
+    Equal sets that meet in a task sign once; its set ids are few, as a task reads a bounded piece of the table.
+    """
+
+    def pack(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        bucket = (((rows["sig"].view(np.uint64) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows[order], bucket[order]
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        pieces = -(-np.diff(np.append(first, len(rows))) // PACK)
+        cut = np.repeat(first, pieces) + (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PACK
+        ends = (np.append(cut, len(rows)) * SIGNED.itemsize).astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), packed], names=["bucket", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
         for b in batches:
-            for part in slices(b, "text", CHUNK_BYTES):
+            for part in slices(b, "text", CHUNK_BYTES // 4):
                 sets, ends = shingle_sets(part.column("text"), shingle)
                 ids = set_ids(sets, ends)
                 once = np.zeros(len(ids), bool)
-                once[np.unique(ids, return_index=True)[1]] = True
+                once[[i for i in np.unique(ids, return_index=True)[1] if int(ids[i]) not in seen]] = True
+                seen.update(ids[once].tolist())
                 rows, bands = signers(like, np.where(once, np.diff(ends), 0))
                 if rows.size:
                     sig, of = signatures(like, sets, ends, rows, bands)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ids[rows][of]), pa.array(bands[of].astype(np.int16))], names=["sig", "set_id", "band"])
+                    made = np.empty(len(sig), SIGNED)
+                    made["sig"], made["set_id"], made["band"] = sig, ids[rows][of], bands[of]
+                    held.append(made)
+                if sum(map(len, held)) >= PACKED_AT_ONCE:
+                    yield pack(held)
+                    held = []
+        if held:
+            yield pack(held)
+
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "bucket int, part binary")
+
+
+def shared_groups(parts: DataFrame, tasks: int) -> DataFrame:
+    """sig, set_id, band of signatures that more than one set has. Signatures with the same members form one group, named by
+    a hash of the members; the same pair of near copies shares many.
+
+    A bucket is sorted in memory. Where it holds more than BUCKET_ROWS, groups that are known to be shared are given out
+    on the way, under their signature, so that a very frequent signature is never gathered.
+    """
+
+    def groups(rows: np.ndarray, known: np.ndarray, last: bool) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        rows = rows[np.lexsort((rows["set_id"], rows["sig"]))]
+        rows = rows[np.concatenate([[True], (rows["sig"][1:] != rows["sig"][:-1]) | (rows["set_id"][1:] != rows["set_id"][:-1])])]
+        first = np.flatnonzero(np.concatenate([[True], rows["sig"][1:] != rows["sig"][:-1]]))
+        n = np.diff(np.append(first, len(rows)))
+        sig = rows["sig"][first]
+        old = np.isin(sig, known)
+        name = sig.copy()
+        if last:
+            made = mix(np.add.reduceat(mix(rows["set_id"].view(np.uint64) + np.uint64(0x1D)), first) + rows["band"][first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64))
+            name = np.where(old, sig, made.view(np.int64))
+        out = old | (n > 1)
+        known = np.union1d(known, sig[out & ~old])
+        kept = rows[np.repeat(~out, n)]
+        if last:  # one of the groups with the same members
+            one = np.zeros(len(name), bool)
+            one[np.unique(name, return_index=True)[1]] = True
+            out &= one | old
+        rows, name = rows[np.repeat(out, n)], np.repeat(name[out], n[out])
+        return pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.ascontiguousarray(rows["set_id"])), pa.array(np.ascontiguousarray(rows["band"]))], names=["sig", "set_id", "band"]), known, kept
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, size, most, known = None, [], 0, BUCKET_ROWS, np.zeros(0, np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bucket = b.column("bucket").to_numpy()
+            buf, at = views(b.column("part"))
+            edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if bucket[i] != current:
+                    if held:
+                        yield groups(np.concatenate(held), known, True)[0]
+                    current, held, size, most, known = bucket[i], [], 0, BUCKET_ROWS, np.zeros(0, np.int64)
+                held.append(np.frombuffer(buf[at[i] : at[j]].tobytes(), SIGNED))
+                size += len(held[-1])
+                if size > most:
+                    found, known, kept = groups(np.concatenate(held), known, False)
+                    yield found
+                    held, size, most = [kept], len(kept), max(BUCKET_ROWS, 2 * len(kept))
+        if held:
+            yield groups(np.concatenate(held), known, True)[0]
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "sig long, set_id long, band short")
+    dealt = parts.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "sig long, set_id long, band short").distinct()
 
 
 def candidate_edges(groups: DataFrame, parts: int, every: bool, like: Likeness) -> DataFrame:
@@ -348,9 +435,11 @@ def join(docs: DataFrame, chunk: int = CHUNK, shingle: int = SHINGLE, percent: i
     work = Work(spark, "ngrams")
     parts = tasks_for(spark)
     rows = work.write(set_rows(docs, shingle, like), "sets")
-    signs = signature_rows(docs, shingle, like)
-    shared = signs.groupBy("sig").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).filter("x <> y").select("sig")
-    members = work.write(signs.join(shared, "sig").distinct(), "members")
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    # three signatures for every other element that may differ, in two bands at most
+    expected = total * 6 * (100 - percent) // (100 + percent)
+    signed = signature_parts(docs, shingle, like, max(parts, expected // BUCKET_AIM))
+    members = work.write(shared_groups(signed, parts), "members")
     roots = None
     if not members.isEmpty():
         ids = members.select("set_id", "band").distinct()

@@ -258,6 +258,35 @@ def test_large_group_of_near_copies(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in join(df, chunk=64).collect()) == brute.jaccard_components(rows)
 
 
+def test_hot_signatures_are_given_out_on_the_way(spark, monkeypatch):
+    """With tiny buckets and packs, the groups are those of a plain count."""
+    from tessera.llm import ngram_join
+
+    like, rows = ngram_join.Likeness(80), near_copies(60, 3) + [(100 + i, base_text(i, 30)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def groups(limit, pack):
+        monkeypatch.setattr(ngram_join, "PACK", pack)
+        monkeypatch.setattr(ngram_join, "BUCKET_ROWS", limit)
+        found = collections.defaultdict(set)
+        for r in ngram_join.shared_groups(ngram_join.signature_parts(docs, 5, like, 3), 2).collect():
+            found[r.sig].add(r.set_id)
+        return {frozenset(v) for v in found.values()}
+
+    import pyarrow as pa
+
+    sets, ends = ngram_join.shingle_sets(pa.array([t for _, t in rows]), 5)
+    at, bands = ngram_join.signers(like, np.diff(ends))
+    sig, of = ngram_join.signatures(like, sets, ends, at, bands)
+    want = collections.defaultdict(set)
+    for x, i in zip(sig.tolist(), ngram_join.set_ids(sets, ends)[at][of].tolist(), strict=True):
+        want[x].add(i)
+    want = {frozenset(v) for v in want.values() if len(v) > 1}
+    assert groups(1 << 20, 256) == want
+    some = groups(50, 7)
+    assert want <= some and all(any(g <= w for w in want) for g in some)
+
+
 def test_stage_joins_on_five_words(spark):
     """Two spread edits in 100 words: 86/106 on five words, 92/104 on three."""
     import corpus_pipeline
