@@ -146,7 +146,8 @@ def with_verdict(counts: DataFrame, cutoffs: dict[str | None, dict[str, float]])
     bad = F.lit(False)
     for rule, (score, _) in RULES.items():
         bad = bad | F.coalesce(F.expr(score) > F.col(f"cut_{rule}"), F.lit(False))
-    return counts.join(table, F.col("stratum").eqNullSafe(F.col("of")), "left").withColumn("passes", ~bad)
+    # rows that the driver holds, one for a stratum with enough labelled documents
+    return counts.join(F.broadcast(table), F.col("stratum").eqNullSafe(F.col("of")), "left").withColumn("passes", ~bad)
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", keep: list[str] | None = None, **options) -> DataFrame:
