@@ -29,6 +29,8 @@ from tessera.llm.common import CHUNK_BYTES, Work, hash_words, mix, multipliers,
 LONGEST_RUN = 96
 #: Anchors with more distinct blocks than this are split by longer anchors.
 MOST_BLOCKS = 1000
+#: Tables of one length of anchors, which its spans are read from.
+STEPS = ("found", "firsts", "hot", "answers", "split")
 #: Units that a task indexes at a time.
 BUCKET_UNITS = 1 << 19
 
@@ -237,7 +239,9 @@ def repeated_spans(work: Work, docs: DataFrame, kind: Kind, same_doc: bool, reso
 
     Earlier means in a smaller (doc, start) if same_doc, else in a smaller doc.
     """
-    return _spans(work, keyed(docs), kind, same_doc, resolve, most_blocks, bucket_units, 0)
+    spans = work.write(_spans(work, keyed(docs), kind, same_doc, resolve, most_blocks, bucket_units, 0), "spans")
+    work.drop(*(f"{name}0" for name in STEPS))
+    return spans
 
 
 def _spans(work: Work, rows: DataFrame, kind: Kind, same_doc: bool, resolve: Resolve, most_blocks: int, bucket_units: int, level: int) -> DataFrame:
@@ -245,7 +249,7 @@ def _spans(work: Work, rows: DataFrame, kind: Kind, same_doc: bool, resolve: Res
     every = work.write(all_runs(rows, kind), f"runs{level}")
     shared = every.groupBy("anchor").agg(F.count("*").alias("c"), F.max("twice").alias("t")).filter("c > 1 or t").select("anchor")
     found = work.write(every.drop("twice").join(work.write(shared, f"anchors{level}"), "anchor"), f"found{level}")
-    work.drop(f"runs{level}")
+    work.drop(f"runs{level}", f"anchors{level}")
     firsts = found.groupBy("anchor", "block").agg(F.min(F.struct("doc", "at", "base", "n")).alias("f")).select("anchor", "block", "f.*")
     firsts = work.write(firsts, f"firsts{level}")
     cold = firsts
@@ -265,6 +269,7 @@ def _spans(work: Work, rows: DataFrame, kind: Kind, same_doc: bool, resolve: Res
         hits = F.coalesce(F.flatten(F.transform("spans", lambda x: F.array(x["s"], x["e"]))), F.array().cast("array<int>"))
         inner = blocks.drop("text").join(inner, ["doc", "base"], "left").select("anchor", "block", F.col("doc").alias("first_doc"), F.col("base").alias("first_at"), hits.alias("hits"))
         answers = answers.unionByName(work.write(inner, f"split{level}"))
+        work.drop(f"blocks{level}", *(f"{name}{level + 1}" for name in STEPS))
 
     both = found.join(answers, ["anchor", "block"])
     later = F.struct("doc", "at") > F.struct(F.col("first_doc").alias("doc"), F.col("first_at").alias("at")) if same_doc else F.col("doc") > F.col("first_doc")
