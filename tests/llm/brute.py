@@ -60,13 +60,13 @@ def substrings(rows, window=100):
     return out
 
 
-def shingles(text):
+def shingles(text, k=3):
     w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-    return frozenset([tuple(w)] if 0 < len(w) < 3 else [tuple(w[i : i + 3]) for i in range(len(w) - 2)])
+    return frozenset([tuple(w)] if 0 < len(w) < k else [tuple(w[i : i + k]) for i in range(len(w) - k + 1)])
 
 
-def jaccard_components(rows):
-    sets = {d: shingles(t) for d, t in rows}
+def jaccard_components(rows, k=3, percent=90):
+    sets = {d: shingles(t, k) for d, t in rows}
     holders = collections.defaultdict(list)
     for d, s in sets.items():
         for x in s:
@@ -81,7 +81,7 @@ def jaccard_components(rows):
     for d, s in sets.items():
         shared = collections.Counter(e for x in s for e in holders[x] if e < d)
         for e, n in shared.items():
-            if 100 * n >= 90 * (len(s) + len(sets[e]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[e]) - n):
                 a, b = find(d), find(e)
                 parent[max(a, b)] = min(a, b)
     return sorted((d, len(s), find(d)) for d, s in sets.items())
