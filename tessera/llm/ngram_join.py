@@ -17,7 +17,7 @@ aren't connected, few as they are, and these are verified too. Then every link j
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -399,7 +399,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "set_id long, elements binary").dropDuplicates(["set_id"])
 
 
-def split_groups(work: Work, big: DataFrame, sets: DataFrame, like: Likeness, chunk: int) -> tuple[DataFrame, DataFrame]:
+def split_groups(work: Work, big: DataFrame, checked_edges: Callable[[DataFrame, str], DataFrame], chunk: int) -> tuple[DataFrame, DataFrame]:
     """Groups (sig, set_id, band, chunks) with more members than a task should compare, cut up: rows for `candidate_edges`,
     and verified edges (a, b, linked) to each group's pivot, one of its members.
 
@@ -409,7 +409,7 @@ def split_groups(work: Work, big: DataFrame, sets: DataFrame, like: Likeness, ch
     """
     pivot = work.write(big.groupBy("sig").agg(F.min(F.struct(F.xxhash64("set_id").alias("h"), "set_id")).alias("p")).select("sig", F.col("p.set_id").alias("pivot")), "pivot")
     near = big.join(pivot, "sig").filter("set_id <> pivot").select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")).distinct()
-    near = work.write(verify(near, sets, like), "near")
+    near = checked_edges(near, "near")
     both = big.join(pivot, "sig").withColumns({"a": F.least("set_id", "pivot"), "b": F.greatest("set_id", "pivot")}).join(near, ["a", "b"], "left")
     both = work.write(both.select("sig", "set_id", "band", "chunks", "pivot", (F.coalesce("linked", F.lit(False)) | (F.col("set_id") == F.col("pivot"))).alias("inside")), "inside")
     left = work.write(both.filter("not inside").groupBy("sig").agg(F.ceil(F.count("*") / chunk).cast("int").alias("rests")), "rests")
@@ -445,20 +445,30 @@ def join(docs: DataFrame, chunk: int = CHUNK, shingle: int = SHINGLE, percent: i
         ids = members.select("set_id", "band").distinct()
         by_band = rows.select("set_id", F.col("n_shingles").alias("n"), F.explode("sketches").alias("s")).select("set_id", "n", "s.band", "s.sketch")
         sketched = work.write(by_band.dropDuplicates(["set_id", "band"]).join(ids, ["set_id", "band"], "left_semi"), "sketches")
-        chosen = rows.groupBy("set_id").agg(F.min("doc_id").alias("of_doc")).join(members.select("set_id").distinct(), "set_id", "left_semi")
-        sets = work.write(whole_sets(docs, chosen.select("of_doc").distinct(), shingle), "elements")
+        of_set = rows.groupBy("set_id").agg(F.min("doc_id").alias("of_doc"))
+
+        def checked_edges(edges: DataFrame, name: str) -> DataFrame:
+            """Edges with `linked`; whole sets are made for their ends only, and go again."""
+            edges = work.write(edges, f"edges_{name}")
+            ends = edges.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+            wanted = work.write(of_set.join(ends, "set_id", "left_semi").select("of_doc").distinct(), f"ends_{name}")
+            sets = work.write(whole_sets(docs, wanted, shingle), f"elements_{name}")
+            out = work.write(verify(edges, sets, like), f"checked_{name}")
+            work.drop(f"edges_{name}", f"ends_{name}", f"elements_{name}")
+            return out
+
         large = members.groupBy("sig").agg(F.count("*").alias("c")).filter(F.col("c") > chunk)
         large = work.write(large.select("sig", F.ceil(F.col("c") / chunk).cast("int").alias("chunks")), "large")
         members, pivots = members.withColumns({"c1": F.lit(0), "c2": F.lit(0), "label": F.col("set_id")}), None
         if not large.isEmpty():
-            whole, pivots = split_groups(work, members.select("sig", "set_id", "band").join(large, "sig"), sets, like, chunk)
+            whole, pivots = split_groups(work, members.select("sig", "set_id", "band").join(large, "sig"), checked_edges, chunk)
             members = work.write(members.join(large.select("sig"), "sig", "left_anti").unionByName(whole), "split")
 
         def verified(groups: DataFrame, name: str, every: bool) -> DataFrame:
             edges = candidate_edges(groups.join(sketched, ["set_id", "band"]), parts, every, like)
             if every:
                 edges = edges.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-            return work.write(verify(work.write(edges, f"edges_{name}"), sets, like), f"checked_{name}")
+            return checked_edges(edges, name)
 
         forest = verified(members, "forest", False)
         checked = forest if pivots is None else forest.unionByName(pivots)
@@ -474,7 +484,7 @@ def join(docs: DataFrame, chunk: int = CHUNK, shingle: int = SHINGLE, percent: i
             if not more.filter("linked").isEmpty():
                 links = checked.unionByName(more).filter("linked").select("a", "b")
                 roots = components(work, links, "stars_all_")
-        work.drop("members", "split", "sketches", "elements")
+        work.drop("members", "split", "sketches")
     result = rows.drop("sketches")
     result = result.withColumn("root", F.col("set_id")) if roots is None else result.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     # written before it is joined, so that Spark can split a root with many documents
