@@ -160,10 +160,12 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", keep: list[
     """
     work = Work(docs.sparkSession, "quality")
     keep = [c for c in keep or [] if c not in ("doc_id", *COUNTS, "base_failed", "kept")]
-    own = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep])
-    counts = with_counts(docs, [F.col("doc_id"), F.col(f"`{stratum}`").alias("stratum"), F.xxhash64("text").alias("text_hash"), own.alias("own")])
-    counts = work.write(counts, "counts")
-    counts = with_verdict(counts, fit_cutoffs(counts, labels, **options))
+    own = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("own")
+    own_keys = [F.col("doc_id"), F.col(f"`{stratum}`").alias("stratum"), F.xxhash64("text").alias("text_hash")]
+    counts = work.write(with_counts(docs, own_keys), "counts")
+    cutoffs = fit_cutoffs(counts, labels, **options)
+    # kept columns may be as large as the table: the words are counted again rather than written with them
+    counts = with_verdict(with_counts(docs, [*own_keys, own]) if keep else counts, cutoffs)
     failed = base_failed()
     return counts.select("doc_id", *COUNTS[:5], failed.alias("base_failed"), (~failed & F.col("passes")).alias("kept"), *COUNTS[5:], *[F.col("own").getField(c).alias(c) for c in keep])
 
