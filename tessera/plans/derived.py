@@ -156,8 +156,16 @@ def table_digest(s, versions, digits=2):
 @query("a10b_commutative_digest", "SELECT table_version_id, count(*) AS n, bit_xor(('0x' || left(md5(row_version_id), 15))::BIGINT) AS digest, CAST(sum(('0x' || substr(md5(row_version_id), 16, 12))::BIGINT) AS BIGINT) AS total FROM row_table GROUP BY 1")
 def a10b(s):
     """An order-free digest: hashes of row versions added up and put together by exclusive or, combined before the shuffle."""
+    return commutative_digest(s.row_table)
+
+
+def commutative_digest(links):
+    """Halves of the hashes are added apart, as a sum of whole ones leaves a BIGINT at some 65,000 rows; the total is the
+    sum's lowest 64 bits, in two's complement: the sum itself as long as a BIGINT holds it."""
     part = lambda at, n: F.conv(F.substring(F.md5("row_version_id"), at, n), 16, 10).cast("long")
-    return s.row_table.groupBy("table_version_id").agg(F.count("*").alias("n"), F.bit_xor(part(1, 15)).alias("digest"), F.sum(part(16, 12)).alias("total"))
+    per = links.groupBy("table_version_id").agg(F.count("*").alias("n"), F.bit_xor(part(1, 15)).alias("digest"), F.sum(part(16, 6)).alias("high"), F.sum(part(22, 6)).alias("low"))
+    carried = F.col("high") + F.shiftright("low", 24)
+    return per.select("table_version_id", "n", "digest", F.shiftleft(carried, 24).bitwiseOR(F.col("low").bitwiseAND(F.lit((1 << 24) - 1))).alias("total"))
 
 
 @query("a11_schema_hashes", f"SELECT k.table_version_id, r.schema_hash, count(*) AS n FROM {ROWS} GROUP BY 1, 2")

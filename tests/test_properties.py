@@ -284,3 +284,16 @@ def test_copies_under_leases(spark):
     assert control.beat(table, "w2", 50, 2).filter("id = 'c'").first()["copied_rows"] == 2
     with pytest.raises(ValueError):
         control.abort(table, "a")
+
+
+def test_commutative_digest_of_a_table_whose_sum_leaves_a_bigint(spark):
+    from tessera.plans.derived import commutative_digest
+
+    n = 150_000
+    got = commutative_digest(spark.range(n).selectExpr("'v' || id as row_version_id", "'t' as table_version_id")).first()
+    hashes = [hashlib.md5(f"v{i}".encode()).hexdigest() for i in range(n)]
+    total, digest = sum(int(h[15:27], 16) for h in hashes), 0
+    for h in hashes:
+        digest ^= int(h[:15], 16)
+    assert total >= 1 << 63
+    assert (got["n"], got["digest"], got["total"] % (1 << 64)) == (n, digest, total % (1 << 64))
