@@ -48,27 +48,33 @@ def update_rows(store: Store, table_version: str, changes: DataFrame, now: int)
     rows are copied first, others change in place."""
     more = [c for c in ("meta", "schema_hash") if c in changes.columns]
     mine = rows_of(store, table_version).drop(*more).join(changes.select("id", F.col("data").alias("new_data"), *more), "id")
-    made = mine.withColumns({
-        "old_version_id": F.col("version_id"), "version_id": F.when(F.col("readonly"), F.concat("version_id", F.lit(f"@{now}"))).otherwise(F.col("version_id")), "readonly": F.lit(False),
-        "data": F.col("new_data"), "hash": F.md5("new_data"), "updated_at": F.lit(now).cast("long"),
-    })
-    return _swap(store, table_version, made)
+    return rewrite_rows(store, table_version, mine, now)
+
+
+def rewrite_rows(store: Store, table_version: str, mine: DataFrame, now: int) -> Store:
+    """`update_rows` for rows that carry their document as `new_data` already, without a join by id."""
+    return _swap(store, table_version, mine.withColumns({"data": F.col("new_data"), "hash": F.md5("new_data")}), now)
 
 
 def rename_rows(store: Store, table_version: str, pairs: DataFrame, now: int) -> Store:
     """Rows with new ids: pairs (old_id, new_id); identity and content stay."""
     mine = rows_of(store, table_version).join(pairs.withColumnRenamed("old_id", "id"), "id")
-    made = mine.withColumns({"old_version_id": F.col("version_id"), "version_id": F.when(F.col("readonly"), F.concat("version_id", F.lit(f"@{now}"))).otherwise(F.col("version_id")), "readonly": F.lit(False), "id": F.col("new_id"), "updated_at": F.lit(now).cast("long")})
-    return _swap(store, table_version, made)
-
-
-def _swap(store: Store, table_version: str, made: DataFrame) -> Store:
-    """Links of one table version moved from old to new row versions; rows that no table holds any more go."""
-    moved = made.select(F.col("old_version_id").alias("row_version_id"), F.col("version_id").alias("new_version_id"), F.lit(table_version).alias("table_version_id"))
-    links = store.row_table.join(moved, ["row_version_id", "table_version_id"], "left").select(F.coalesce("new_version_id", "row_version_id").alias("row_version_id"), "table_version_id")
-    replaced = made.filter("old_version_id = version_id").select("version_id")
-    rows = store.row_version.join(replaced, "version_id", "left_anti").unionByName(made.select(*ROW_COLUMNS))
-    return store.but(row_version=rows, row_table=links)
+    return _swap(store, table_version, mine.withColumn("id", F.col("new_id")), now)
+
+
+def _swap(store: Store, table_version: str, changed: DataFrame, now: int) -> Store:
+    """Changed rows of one table version in place of those that it holds: readonly ones as copies to which its links are
+    moved, others under their own version. The two are apart, so that what is asked of a new version's id is asked of the
+    old one's and of its link before they are joined; links of other tables and readonly rows aren't compared at all."""
+    here, locked = F.col("table_version_id") == table_version, F.coalesce("readonly", F.lit(False))
+    changed = changed.withColumn("updated_at", F.lit(now).cast("long"))
+    new_version = F.concat("version_id", F.lit(f"@{now}"))
+    copies, others = changed.filter(locked), changed.filter(~locked)
+    moved = copies.select(F.col("version_id").alias("row_version_id"), new_version.alias("new_version_id"))
+    own = store.row_table.filter(here).join(moved, "row_version_id", "left").select(F.coalesce("new_version_id", "row_version_id").alias("row_version_id"), "table_version_id")
+    kept = store.row_version.filter(locked).unionByName(store.row_version.filter(~locked).join(others.select("version_id"), "version_id", "left_anti"))
+    made = [part.withColumn("readonly", F.lit(False)).select(*ROW_COLUMNS) for part in (copies.withColumn("version_id", new_version), others)]
+    return store.but(row_version=kept.unionByName(made[0]).unionByName(made[1]), row_table=store.row_table.filter(~here).unionByName(own))
 
 
 def remove_rows(store: Store, table_version: str, ids: DataFrame) -> Store:

@@ -9,7 +9,7 @@ from tessera.functions.jsonpath import schema_type
 from tessera.operators import scan, tables
 from tessera.plans.lookups import ROWS
 from tessera.plans.registry import query, read, table_query
-from tessera.sources.store import revision_rows, rows_of, scratch, table_at, tables_of
+from tessera.sources.store import rows_of, scratch, system_rows, table_at, tables_of
 
 NOW = 1704300000000
 ENTRY = "'2024-01-03T16:40:00.000Z'"
@@ -21,7 +21,7 @@ def parts(s, revision):
     at = lambda p: F.get_json_object("data", f"$.{p}")
     entry = F.concat_ws(" ", at("changeType"), at("tableId"), at("nextTableId"))
     detail = F.when(F.col("table_id") == "sys_schemas", F.col("data")).when(F.col("table_id") == "sys_migrations", entry).otherwise(F.get_json_object("data", "$.defaultViewId"))
-    return named.unionByName(revision_rows(s, revision, True).select(F.col("table_id").alias("part"), "id", detail.alias("detail")))
+    return named.unionByName(system_rows(s, revision).select(F.col("table_id").alias("part"), "id", detail.alias("detail")))
 
 
 OLD_ENTRIES = "SELECT 'sys_migrations', r.id, concat_ws(' ', json_extract_string(r.data, '$.changeType'), json_extract_string(r.data, '$.tableId'), json_extract_string(r.data, '$.nextTableId')) FROM " + ROWS + " WHERE k.table_version_id = "

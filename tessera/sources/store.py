@@ -104,6 +104,21 @@ def rows_of(store: Store, table_version: str) -> DataFrame:
     return store.row_version.join(links_of(store, table_version), "version_id").select(*ROW_COLUMNS)
 
 
+def system_links(store: Store, revision_id: str) -> list:
+    """Links of a revision's system tables, each with its table: brought to the driver, as they are a few for each table."""
+    tables = {r["version_id"]: r for r in tables_of(store, revision_id, True).select("version_id", "created_id", "id").collect()}
+    links = store.row_table.filter(F.col("table_version_id").isin(list(tables))).select("row_version_id", "table_version_id").collect() if tables else []
+    return [(r["row_version_id"], r["table_version_id"], tables[r["table_version_id"]]["created_id"], tables[r["table_version_id"]]["id"]) for r in links]
+
+
+def system_rows(store: Store, revision_id: str) -> DataFrame:
+    """`revision_rows` of the system tables: their versions are named in the plan, so that no other row is joined or sent."""
+    links = system_links(store, revision_id)
+    rows = store.row_version.filter(F.col("version_id").isin(sorted({r[0] for r in links})))
+    held = store.branch.sparkSession.createDataFrame(links, "version_id string, table_version_id string, table_created_id string, table_id string")
+    return rows.join(F.broadcast(held), "version_id").select(*ROW_COLUMNS, "table_version_id", "table_created_id", "table_id")  # a few for each table
+
+
 def revision_rows(store: Store, revision_id: str, system: bool | None = False) -> DataFrame:
     """All rows of a revision with the table that holds them."""
     tables = tables_of(store, revision_id, system).select(F.col("version_id").alias("table_version_id"), F.col("created_id").alias("table_created_id"), F.col("id").alias("table_id"))

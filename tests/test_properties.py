@@ -297,3 +297,22 @@ def test_commutative_digest_of_a_table_whose_sum_leaves_a_bigint(spark):
         digest ^= int(h[:15], 16)
     assert total >= 1 << 63
     assert (got["n"], got["digest"], got["total"] % (1 << 64)) == (n, digest, total % (1 << 64))
+
+
+def test_system_rows_change_apart_from_the_rows_of_tables(spark, graph):
+    """A rename and a whole table's update send no rows of tables: the plans over system rows have no shuffle of them, and
+    what was rewritten is read without a join by id."""
+    renamed = tables.rename_table(graph, "f9", "orders", "sales", 1704300000000)
+    rows = stores.system_rows(renamed, "f9")
+    assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().sparkPlan().toString() and "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {(r["table_id"], r["id"]) for r in rows.collect()} >= {("sys_schemas", "sales"), ("sys_views", "sales")}
+    added = [{"op": "add", "path": "/properties/note", "value": {"type": "string", "default": "n"}}]
+    after = tables.update_table(graph, "r6", "orders", added, 1704300000000)
+    got = stores.rows_of(after, "ot6")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join Inner, (id#" in line]
+    before = stores.rows_of(graph, "ot6")
+    assert got.count() == before.count() and got.filter("readonly or data not like '%\"note\":\"n\"%'").isEmpty()
+    assert sorted(r[0] for r in got.select("created_id").collect()) == sorted(r[0] for r in before.select("created_id").collect())
+    assert after.row_version.filter("not readonly and id not like 'order-%' and version_id not like 'z%' and version_id not like '%/%'").isEmpty()
+    assert after.row_table.filter("table_version_id = 'ot4'").count() == graph.row_table.filter("table_version_id = 'ot4'").count()
