@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.jsonpath import rewritten, steps
 from tessera.operators.diff import has_row_diffs, has_table_diffs
 from tessera.operators.references import references
-from tessera.sources.store import ROW_COLUMNS, Store, links_of, rows_of, tables_of
+from tessera.sources.store import ROW_COLUMNS, Store, dealt, links_of, parts_for, rows_of, tables_of
 
 
 #: Lengths of an ISO time to the day and to the second.
@@ -98,7 +98,8 @@ def remove_table(store: Store, revision_id: str, table_version: str) -> Store:
         return out
     mine = links_of(store, table_version)
     others = store.row_table.filter(F.col("table_version_id") != table_version).select(F.col("row_version_id").alias("version_id"))
-    gone = mine.join(others, "version_id", "left_anti")
+    parts = parts_for(store.row_table)
+    gone = dealt(mine, parts, "version_id").join(dealt(others, parts, "version_id"), "version_id", "left_anti")
     return out.but(table_version=store.table_version.filter(F.col("version_id") != table_version), row_table=store.row_table.filter(F.col("table_version_id") != table_version), row_version=store.row_version.join(gone, "version_id", "left_anti"))
 
 

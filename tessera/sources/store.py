@@ -104,6 +104,19 @@ def rows_of(store: Store, table_version: str) -> DataFrame:
     return store.row_version.join(links_of(store, table_version), "version_id").select(*ROW_COLUMNS)
 
 
+#: Links that one task sorts or groups: ids compress so well that tasks dealt by bytes would hold millions.
+TASK_LINKS = 1 << 18
+
+
+def parts_for(links: DataFrame) -> int:
+    """Into how many parts links are dealt: by their number, so that a task's memory doesn't grow with the tables."""
+    return max(1, -(-links.count() // TASK_LINKS))
+
+
+def dealt(links: DataFrame, parts: int, key: str) -> DataFrame:
+    return links.repartition(parts, key)
+
+
 def system_links(store: Store, revision_id: str) -> list:
     """Links of a revision's system tables, each with its table: brought to the driver, as they are a few for each table."""
     tables = {r["version_id"]: r for r in tables_of(store, revision_id, True).select("version_id", "created_id", "id").collect()}

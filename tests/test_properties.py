@@ -316,3 +316,9 @@ def test_system_rows_change_apart_from_the_rows_of_tables(spark, graph):
     assert sorted(r[0] for r in got.select("created_id").collect()) == sorted(r[0] for r in before.select("created_id").collect())
     assert after.row_version.filter("not readonly and id not like 'order-%' and version_id not like 'z%' and version_id not like '%/%'").isEmpty()
     assert after.row_table.filter("table_version_id = 'ot4'").count() == graph.row_table.filter("table_version_id = 'ot4'").count()
+
+
+def test_removal_compares_links_in_parts_by_their_number(graph, monkeypatch):
+    monkeypatch.setattr(stores, "TASK_LINKS", 100)
+    plan = versioning.remove_table(graph, "r6", "ot6").row_version._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [version_id") == 2 and f", {-(-graph.row_table.count() // 100)}" in plan
