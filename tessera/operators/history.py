@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.paging import decode_cursor, sort_hash
-from tessera.sources.store import Store
+from tessera.sources.store import Store, dealt, parts_for
 
 
 @dataclass
@@ -33,12 +33,17 @@ def lineage(store: Store, revision_id: str) -> DataFrame:
 
 
 def introductions(store: Store, revision_id: str, table_created_id: str) -> DataFrame:
-    """version_id and the first sequence at which the lineage links it, for all rows of a table: one scan of links."""
+    """version_id and the first sequence at which the lineage links it, for all rows of a table. Tables are brought to the
+    driver, and links dealt by version before they are grouped, as a group has no more than one link a table version."""
     line = lineage(store, revision_id)
     revisions = store.revision.join(line, "branch_id").filter("sequence <= max_seq").select(F.col("id").alias("revision_id"), "sequence")
     tables = store.table_version.filter(F.col("created_id") == table_created_id).select(F.col("version_id").alias("table_version_id"))
     first = store.revision_table.join(revisions, "revision_id").join(tables, "table_version_id").groupBy("table_version_id").agg(F.min("sequence").alias("sequence"))
-    return store.row_table.join(first, "table_version_id").groupBy(F.col("row_version_id").alias("version_id")).agg(F.min("sequence").alias("introduced_seq"))
+    held = dict(tuple(r) for r in first.select("table_version_id", "sequence").collect())  # table versions
+    links = store.row_table.filter(F.col("table_version_id").isin(list(held)))
+    seq = F.coalesce(*[F.when(F.col("table_version_id") == v, F.lit(n)) for v, n in held.items()], F.lit(None).cast("int"))
+    links = links.select(F.col("row_version_id").alias("version_id"), seq.alias("introduced_seq"))
+    return dealt(links, parts_for(links), "version_id").groupBy("version_id").agg(F.min("introduced_seq").alias("introduced_seq"))
 
 
 def events(store: Store, revision_id: str, table_created_id: str) -> DataFrame:

@@ -322,3 +322,13 @@ def test_removal_compares_links_in_parts_by_their_number(graph, monkeypatch):
     monkeypatch.setattr(stores, "TASK_LINKS", 100)
     plan = versioning.remove_table(graph, "r6", "ot6").row_version._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression [version_id") == 2 and f", {-(-graph.row_table.count() // 100)}" in plan
+
+
+def test_links_are_dealt_by_their_number(graph, monkeypatch):
+    """Tasks that group or compare links get no more of them as tables grow."""
+    before = history.introductions(graph, "f8", "to").collect()
+    links = graph.row_table.filter("table_version_id in ('ot1', 'ot2', 'ot8')").count()
+    monkeypatch.setattr(stores, "TASK_LINKS", 100)
+    after = history.introductions(graph, "f8", "to")
+    assert after.rdd.getNumPartitions() == -(-links // 100)
+    assert sorted(before) == sorted(after.collect()) and before
