@@ -15,7 +15,7 @@ def linked_rows(store: Store, revision_id: str, table_created_id: str | None = N
     tables = tables_of(store, revision_id).select(F.col("version_id").alias("table_version_id"), F.col("created_id").alias("table_created_id"))
     if table_created_id is not None:
         tables = tables.filter(F.col("table_created_id") == table_created_id)
-    return store.row_table.join(tables, "table_version_id").select(F.col("row_version_id").alias("version_id"), "table_created_id")
+    return store.row_table.join(F.broadcast(tables), "table_version_id").select(F.col("row_version_id").alias("version_id"), "table_created_id")  # one row a table
 
 
 def classify(left_id: Column, right_id: Column, left_content: Column, right_content: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 from graphlib import CycleError, TopologicalSorter
@@ -372,23 +373,32 @@ def repair_plan(entries: list[dict], held: dict[str, dict]) -> list[dict]:
     return out
 
 
-def apply_partial(store: Store, branch_id: str, applied: DataFrame, schema: dict, new_head: str, now: int) -> Store:
-    """A commit of some units of a branch's draft: a new head between the old one and the draft.
+def apply_partial(store: Store, branch_id: str, applied: DataFrame | Callable[[DataFrame], DataFrame], schema: dict, new_head: str, now: int) -> Store:
+    """A commit of some units of a branch's draft, or of those chosen from all its units: a new head between the old one
+    and the draft.
 
     A table none of whose units is applied keeps the head's version, one all of whose rows are the draft's takes the
     draft's, locked; a mixed one gets a version of its own, whose links are the head's less those of rows that change,
-    with the draft's versions and merged ones.
+    with the draft's versions and merged ones. Changed rows, what is applied and what becomes of them are asked for by
+    several parts of the result, so they are worked out once and written.
     """
+    spark = store.branch.sparkSession
+    folder = scratch(spark, "partial")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
     mine = store.revision.filter(F.col("branch_id") == branch_id)
     head, draft = mine.filter("is_head").first()["id"], mine.filter("is_draft").first()["id"]
-    pairs = reported_pairs(store, head, draft)
+    pairs = written(reported_pairs(store, head, draft), "pairs")
     units = row_units(pairs, list(schema["properties"]))
-    outcomes = row_outcomes(units, applied)
+    applied = written((applied(units) if callable(applied) else applied).select("key", "row", "kind", "path"), "applied")
+    outcomes = written(row_outcomes(units, applied), "outcomes")
     of_table = {r["table_created_id"]: r["outcome"] for r in table_outcomes(outcomes).collect()}  # tables
     a = {r["created_id"]: r["version_id"] for r in tables_of(store, head, None).collect()}
     b = {r["created_id"]: r["version_id"] for r in tables_of(store, draft, None).collect()}
     mixed = {t: f"{a[t]}@{now}" for t, o in of_table.items() if o == "mixed" and t in a}
-    spark = store.branch.sparkSession
     versions = {t: mixed.get(t, b.get(t, v) if of_table.get(t) == "other" else v) for t, v in a.items()}
     who = F.when(F.col("replaced"), F.col("row_id")).otherwise(F.col("row_created_id"))
     rows = pairs.withColumn("row", who).join(outcomes, ["table_created_id", "row"]).filter(F.col("table_created_id").isin(list(mixed)))
@@ -413,7 +423,9 @@ def apply_partial(store: Store, branch_id: str, applied: DataFrame, schema: dict
     linked = spark.createDataFrame([(new_head, v) for v in versions.values()], store.revision_table.schema)
     taken = [b[t] for t, o in of_table.items() if o == "other" and t in b]
     held = store.row_table.filter(F.col("table_version_id").isin(taken)).select(F.col("row_version_id").alias("version_id")).unionByName(come.select(F.col("row_version_id").alias("version_id"))).distinct()
-    lock = store.row_version.join(held.withColumn("held", F.lit(True)), "version_id", "left").withColumn("readonly", F.col("readonly") | F.coalesce("held", F.lit(False))).drop("held")
+    locked = F.coalesce("readonly", F.lit(False))  # only other rows can be locked, so only they are compared
+    others = store.row_version.filter(~locked).join(held.withColumn("held", F.lit(True)), "version_id", "left").withColumn("readonly", F.col("readonly") | F.coalesce("held", F.lit(False))).drop("held")
+    lock = store.row_version.filter(locked).unionByName(others)
     return store.but(
         revision=revisions.unionByName(opened), revision_table=store.revision_table.unionByName(linked), row_table=links, row_version=lock.unionByName(made.select(*ROW_COLUMNS)),
         table_version=store.table_version.withColumn("readonly", F.col("readonly") | F.col("version_id").isin(taken)).unionByName(tables),

@@ -176,7 +176,7 @@ def g6c(s):
 @query("g19b_partial_commit", f"SELECT r.created_id, CASE WHEN d.change_type = 'MODIFIED' THEN d.to_data ELSE r.data END AS data FROM {ROWS} LEFT JOIN {DRAFT} ON d.row_created_id = r.created_id AND d.from_id IS NOT NULL WHERE k.table_version_id = 'ot4' AND (d.change_type IS NULL OR d.change_type <> 'REMOVED' OR d.replaced)")
 def g19b(s):
     """Changed amounts and removed rows are committed, replaced rows are not: the new head's table."""
-    after = planner.apply_partial(s, "b1", planner.select(units(s), [{"kind": ["field", "rowDelete"]}]), ORDERS, "r7", 79)
+    after = planner.apply_partial(s, "b1", lambda u: planner.select(u, [{"kind": ["field", "rowDelete"]}]), ORDERS, "r7", 79)
     version = tables_of(after, "r7").filter("created_id = 'to'").select("version_id").first()[0]
     return rows_of(after, version).select("created_id", "data")
 

@@ -332,3 +332,20 @@ def test_links_are_dealt_by_their_number(graph, monkeypatch):
     after = history.introductions(graph, "f8", "to")
     assert after.rdd.getNumPartitions() == -(-links // 100)
     assert sorted(before) == sorted(after.collect()) and before
+
+
+def test_partial_commit_works_changed_rows_out_once(graph):
+    """The new head's rows read what was written, and no plan of theirs pairs the revisions again."""
+    from tessera.plans import transitions as t
+
+    applied = planner.select(t.units(graph), [{"kind": ["field", "rowDelete"]}])
+    after = planner.apply_partial(graph, "b1", applied, t.ORDERS, "r7", 79)
+    version = stores.table_at(after, "r7", "orders")
+    rows = stores.rows_of(after, version).select("created_id", "data")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" not in plan and "any_value" not in plan
+    opened = after.row_version.join(stores.links_of(after, "ot6"), "version_id", "left_semi").filter("not readonly")
+    chosen = planner.apply_partial(graph, "b1", lambda u: planner.select(u, [{"kind": ["field", "rowDelete"]}]), t.ORDERS, "r7", 79)
+    again = stores.rows_of(chosen, version).select("created_id", "data")
+    assert rows.exceptAll(again).isEmpty() and again.exceptAll(rows).isEmpty()
+    assert not rows.isEmpty() and opened.count() < graph.row_version.filter("not readonly").count()
